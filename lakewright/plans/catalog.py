@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lakewright.plans import evidence_queries, graph_queries, name_queries, retrieval_queries
+
+_PARTS = (evidence_queries, retrieval_queries, graph_queries, name_queries)
+
 
 def queries() -> dict:
-    return {}
+    """name -> callable of (spark, sf_dir)."""
+    return {k: f for part in _PARTS for k, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    """name -> DuckDB SQL."""
+    return {k: sql for part in _PARTS for k, (_, sql) in part.QUERIES.items() if sql}
