@@ -26,6 +26,8 @@ from lakewright.storage import cut
 
 #: Rows a bucket, about; the weights by rank of source; most copies of a source's words.
 BUCKET, WEIGHTS, MOST = 1024, (5.0, 2.0, 1.0), 3.0
+#: Sources up to which their facts are broadcast.
+FEW = 50_000
 #: Below this a probability counts as 0, above 1 minus it as 1.
 EPS = 1e-9
 
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     goal = targets(rows, weights, most)
     # a source is joined by its target and number of buckets; both are one row a source
     count = rows.groupBy("source_key").agg(F.count("*").alias("n"))
-    rows = rows.join(goal.join(count, "source_key"), "source_key")
+    rows = _by_source(rows, goal.join(count, "source_key"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + F.lit(EPS)).cast("int")
     rows = rows.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), ratio - whole))
@@ -125,13 +127,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         left = flown.where("again is not null")
         n = left.groupBy("source_key").agg(F.count("*").alias("n"))
         largest, level = n.agg(F.max("n")).first()[0] or 0, level + 1
-        rows = left.join(n, "source_key").withColumn("bucket", F.pmod(F.col("again"), F.ceil(F.col("n") / BUCKET)))
+        rows = _by_source(left, n).withColumn("bucket", F.pmod(F.col("again"), F.ceil(F.col("n") / BUCKET)))
     spark = docs.sparkSession
     out = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], _FLOWN)
     copies = F.col("whole") + F.col("p").cast("int")
     return out.select(F.col("doc_id").cast("long"), "source_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """Rows with their source's facts; these are broadcast if the sources, counted first, are few, else joined by key."""
+    per = cut(per, "sources")
+    return rows.join(F.broadcast(per) if per.count() <= FEW else per, "source_key")
+
+
 def _fly(rows: DataFrame, level: int, last: bool) -> DataFrame:
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "size"], na_position="last").reset_index(drop=True)
