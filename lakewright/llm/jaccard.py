@@ -78,6 +78,11 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def key(s: np.ndarray, salt: int) -> int:
+    """A 64-bit hash of a set: the sum of its shingles' salted hashes; 0 for the empty set."""
+    return int(np.add.reduce(mix(s + np.uint64(salt)), dtype=np.uint64).astype(np.uint64).view(np.int64)) if len(s) else 0
+
+
 def buckets(top: int = 1 << 40) -> list[int]:
     """Upper bounds of the size ranges: 8, then each half as large again."""
     out = [8]
@@ -203,39 +208,44 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, labe
     return out
 
 
-def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, k1, k2, n_shingles) of every row; (node, n_shingles, sigs) of each class of equal, non-empty sets."""
+def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, k1, k2) of every row; (node, n_shingles, k1, k2) of each class of equal, non-empty sets."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = []
-            for text in pdf["text"]:
-                s = shingle_set(text, n)
-                made.append((len(s), int(np.add.reduce(mix(s ^ np.uint64(77))).view(np.int64)) if len(s) else 0, int(np.add.reduce(mix(s + np.uint64(99991))).view(np.int64)) if len(s) else 0, signatures(s, num, den).view(np.int64)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [x[0] for x in made], "k1": [x[1] for x in made], "k2": [x[2] for x in made], "sigs": [x[3] for x in made]})
+            sets = [shingle_set(text, n) for text in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "k1": [key(s, 77) for s in sets], "k2": [key(s, 99991) for s in sets]})
 
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
-    made = rows.mapInPandas(tokens, "doc_id string, n_shingles long, k1 long, k2 long, sigs array<long>")
+    made = rows.mapInPandas(tokens, "doc_id string, n_shingles long, k1 long, k2 long")
     base = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sigs").alias("sigs"))
-    return base.drop("sigs"), reps
+    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"))
+    return base, cut(reps, "reps")
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Star edges between documents that share a signature; batches combine theirs before the shuffle."""
+def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Star edges (of class keys k1) between sets that share a signature; batches combine theirs before the shuffle.
+
+    Signatures go from the texts straight into the one shuffle: a table of them would be as large as the texts.
+    """
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            node = np.repeat(pdf["node"].to_numpy(), pdf["sigs"].map(len))
-            sig = np.concatenate([*pdf["sigs"], np.zeros(0, np.int64)]).astype(np.int64)
+            made = {}
+            for text in pdf["text"]:
+                s = shingle_set(text, n)
+                if len(s):
+                    made.setdefault(key(s, 77), signatures(s, num, den).view(np.int64))
+            sig = np.concatenate([*made.values(), np.zeros(0, np.int64)]).astype(np.int64)
+            node = np.repeat(np.fromiter(made, np.int64, len(made)), [len(x) for x in made.values()])
             order = np.lexsort((node, sig))
             node, sig = node[order], sig[order]
             first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
             via = node[first][np.cumsum(first) - 1]
             own = np.unique(np.stack([via, node], 1)[~first & (via != node)], axis=0)
-            yield pd.DataFrame({"sig": np.append(sig[first], mix(own[:, 1].astype(np.uint64)).view(np.int64)), "node": np.append(node[first], own[:, 1]), "via": np.append(node[first], own[:, 0])})
+            yield pd.DataFrame({"sig": np.append(sig[first], mix(own[:, 1].astype(np.int64).view(np.uint64)).view(np.int64)), "node": np.append(node[first], own[:, 1]), "via": np.append(node[first], own[:, 0])})
 
-    rows = reps.select("node", "sigs").mapInPandas(combine, "sig long, node long, via long")
+    rows = only(docs, "text").mapInPandas(combine, "sig long, node long, via long")
     # a batch's own edges (node <> via) pass through; other rows meet the least node of their signature
     least = F.first("node").over(Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     edges = rows.withColumn("least", least).select(F.explode(F.array(F.struct(F.col("via").alias("src"), F.col("node").alias("dst")), F.struct(F.when(F.col("node") == F.col("via"), F.col("least")).otherwise(F.col("via")).alias("src"), F.col("node").alias("dst")))).alias("e"))
@@ -245,10 +255,9 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link when den * overlap >= num * union."""
     spark = docs.sparkSession
-    base, reps = classes(docs, n, num, den)
-    reps = cut(reps, "reps")
-    group = cut(connected_components(candidate_edges(reps)), "groups")
-    members = cut(group.join(reps.select("node", "n_shingles"), "node"), "members")
+    base, reps = classes(docs, n)
+    group = connected_components(candidate_edges(docs, n, num, den)).withColumnRenamed("node", "k1")
+    members = cut(group.join(reps, "k1").select("node", "component", "n_shingles"), "members")
     load = members.groupBy("component").agg(F.sum("n_shingles").alias("load"))
     members = members.join(load, "component").select("node", "component", F.ceil(F.col("load") / BLOCK).cast("int").alias("chunks"))
     members = cut(members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
@@ -261,7 +270,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         for pdf in batches:
             yield pdf.drop(columns="text").assign(s=[shingle_set(t, n).tobytes() for t in pdf["text"]])
 
-    sets = cut(texts.mapInPandas(to_sets, "doc_id long, component long, chunks int, chunk int, s binary"), "blocks")
+    sets = texts.mapInPandas(to_sets, "doc_id long, component long, chunks int, chunk int, s binary")
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc_id", "s"]).sort_values(["doc_id", "s"]).reset_index(drop=True)
@@ -274,28 +283,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     first = cut(sets.groupBy("component", "chunk").applyInPandas(search, "src long, dst long"), "links")
     links = first
-    large = cut(sets.where("chunks > 1"), "large")
-    if large.take(1):
-        links = first.union(across(large, first, search))
+    if members.where("chunks > 1").take(1):
+        large = texts.where("chunks > 1").mapInPandas(to_sets, sets.schema)
+        links = first.union(across(large, members.where("chunks > 1"), first, search))
     label = connected_components(links)
     nodes = reps.select("k1", "k2", "node").join(label, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     keyed = base.join(nodes, ["k1", "k2"], "left")
     return keyed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def across(large: DataFrame, links: DataFrame, search) -> DataFrame:
+def across(large: DataFrame, members: DataFrame, links: DataFrame, search) -> DataFrame:
     """Links between different blocks of one candidate group.
 
     Of any two documents that are not yet connected, one at least is outside the group's largest component: those are
-    searched for in every other block of the group, block by block.
+    searched for in every other block of the group, block by block. ``members``: the keys of ``large``, without the sets.
     """
-    label = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    known = cut(large.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "labelled")
+    label = connected_components(links).select("node", F.col("component").alias("label"))
+    known = members.select("node", "component").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     size = known.groupBy("component", "label").agg(F.count("*").alias("n"))
     most = size.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("main"))
-    known = known.join(most, "component")
-    asking = known.where("label <> main").select("doc_id", "component", "label", "s", F.col("chunk").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b"), F.lit(True).alias("ask"))
-    pairs = asking.where("a <> b").select("component", "a", "b").distinct()
-    asked = known.select("doc_id", "component", "label", "s", F.col("chunk").alias("b"), F.lit(False).alias("ask")).join(pairs, ["component", "b"])
-    both = asking.where("a <> b").unionByName(asked.select("doc_id", "component", "label", "s", "a", "b", "ask"))
+    facts = cut(known.join(most, "component").select(F.col("node").alias("doc_id"), "label", "main"), "facts")
+    told = large.join(F.broadcast(facts) if facts.count() <= FEW else facts, "doc_id")
+    chunk = members.join(facts.where("label <> main"), members["node"] == facts["doc_id"]).select("component", F.col("chunk").alias("a"), "chunks").distinct()
+    pairs = cut(chunk.select("component", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b")).where("a <> b"), "pairs")
+    # one pass over the sets: each goes to the pairs where its block is searched, and if it is sought itself, to those of its own block
+    asked = pairs.groupBy("component", F.col("b").alias("chunk")).agg(F.collect_list(F.struct("a", "b", F.lit(False).alias("ask"))).alias("at"))
+    asking = pairs.groupBy("component", F.col("a").alias("chunk")).agg(F.collect_list(F.struct("a", "b", F.lit(True).alias("ask"))).alias("own"))
+    none = F.array().cast("array<struct<a:int,b:int,ask:boolean>>")
+    sent = told.join(asked, ["component", "chunk"], "left").join(asking, ["component", "chunk"], "left")
+    to = F.concat(F.coalesce("at", none), F.when(F.col("label") != F.col("main"), F.coalesce("own", none)).otherwise(none))
+    both = sent.select("doc_id", "component", "label", "s", F.explode(to).alias("t")).select("doc_id", "component", "label", "s", "t.a", "t.b", "t.ask")
     return both.groupBy("component", "a", "b").applyInPandas(search, "src long, dst long")
