@@ -4,10 +4,10 @@ A document's set holds its distinct n-word shingles (lower-cased A-Z only). Sets
 
 1. Equal sets form one class; only a class's least doc_id goes on (aggregated with map-side combine).
 2. Candidates are lossless and need no frequencies: linked sets differ in at most ``k`` shingles, where k follows
-   from the size range of their bucket (for a Jaccard of 2/3 or more), so of k + 1 parts of the hash range one at least is equal. Each part of each
-   set gives one signature; a signature is as selective as the several shingles in it, so a passage that many
-   documents share makes no candidates. Signatures are combined within each batch before the shuffle, so a group
-   of copies with a third of all rows sends one row a batch.
+   from the size range of their bucket (for a Jaccard of 2/3 or more), so of m > k parts of the hash range m - k at least are
+   equal. Each part of each set gives one signature, as selective as the several shingles in it; a set that shares
+   fewer signatures than m - k has no partner, so a passage that many documents share makes few candidates. Copies
+   within a batch send their signatures once.
 3. Candidate groups (connected components of equal signatures) become blocks of bounded size. Each block is searched
    by T-occurrence: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap for documents
    that reach T - L, and probes the long lists by binary search. Groups of several blocks then search the documents
@@ -99,35 +99,61 @@ def parts_of(bucket: int, num: int, den: int) -> int:
     return int(_BOUNDS[bucket]) * (den - num) // num
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a set: two sets whose Jaccard is num / den or more share one, or are equal.
-
-    In a bucket's scheme the hash range has k + 1 + e equal parts, e being spare for parts that are empty in both.
-    A set with more than e empty parts gives signatures of a further seed too, until a seed suits it: two sets with
-    more than e common empty parts both do so.
-    """
-    n, out = len(s), []
+def schemes(n: int, num: int, den: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, k, parts) of the schemes in which a set of ``n`` shingles can meet its partners: its own, and the next smaller."""
     own = int(np.searchsorted(_BOUNDS, n))
     for bucket in (own, own - 1):
         if bucket < 0 or bucket < own and n * num > int(_BOUNDS[bucket]) * den:  # no smaller partner there
             continue
         k = parts_of(bucket, num, den)
-        if k == 0:
-            continue
-        low = max(1, int(_BOUNDS[bucket - 1]) + 1 if bucket else 1)
-        m = k + 1
-        m += int(m * np.exp(-low / m) + 3 * np.sqrt(m * np.exp(-low / m))) if m > 20 else 0
-        spare = m - k - 1
+        if k:
+            low = max(1, int(_BOUNDS[bucket - 1]) + 1 if bucket else 1)
+            m = k + 1 + int(np.ceil(0.15 * k))
+            void = m * np.exp(-low / m)  # parts that are empty, about
+            yield bucket, k, m + (int(void + 3 * np.sqrt(void)) if m > 20 else 0)
+
+
+def _parts(s: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes, the parts that aren't empty, where each begins) for ``m`` equal ranges of a seed's hashes."""
+    h = s if seed == 0 else np.sort(mix(s ^ mix(np.array([seed], np.uint64))))
+    edges = (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)).clip(0, 1.8446744073709549e19).astype(np.uint64)
+    bound = np.searchsorted(h, edges)
+    bound[-1] = len(h)
+    full = np.flatnonzero(bound[1:] > bound[:-1])
+    return h, full, bound[full]
+
+
+def scheme_id(k1: int, bucket: int) -> int:
+    """A class's name in one scheme."""
+    return int(mix(np.array([k1], np.int64).view(np.uint64) ^ mix(np.array([bucket + 1], np.uint64))).view(np.int64)[0])
+
+
+def needs(s: np.ndarray, k1: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(scheme id, least number of signatures that the set shares with any partner there) for each scheme."""
+    out = []
+    for bucket, k, m in schemes(len(s), num, den):
+        void = m - len(_parts(s, m, 0)[1])
+        out.append((scheme_id(k1, bucket), max(1, m - k - void)))
+    return out
+
+
+def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, signatures) of a set: two different sets whose Jaccard is num / den or more share some in one bucket.
+
+    The hash range has m > k equal parts, at most k of which differ. A set with m - k or more empty parts
+    gives signatures of a further seed too, until a seed suits it: two sets with as many common empty parts both do so.
+    """
+    out = []
+    for bucket, k, m in schemes(len(s), num, den):
+        made = []
         for seed in range(40):
-            h = s if seed == 0 else np.sort(mix(s ^ mix(np.array([seed], np.uint64))))
-            bound = np.searchsorted(h, (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)).astype(np.float64).clip(0, 1.8446744073709549e19).astype(np.uint64))
-            bound[-1] = n
-            full = np.flatnonzero(bound[1:] > bound[:-1])
-            sums = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), bound[full])
-            out.append(mix(sums + mix((full + m * 1000003 + bucket * 8191 * 131071 + seed * 524287).astype(np.uint64))))
-            if m - len(full) <= spare:
+            h, full, at = _parts(s, m, seed)
+            sums = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
+            made.append(mix(sums + mix((full + m * 1000003 + bucket * 8191 * 131071 + seed * 524287).astype(np.uint64))))
+            if len(full) > k:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((bucket, np.concatenate(made)))
+    return out
 
 
 class Block:
@@ -208,56 +234,58 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, labe
     return out
 
 
-def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, k1, k2) of every row; (node, n_shingles, k1, k2) of each class of equal, non-empty sets."""
+def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, k1, k2) of every row; (node, n_shingles, k1, k2, schemes) of each class of equal, non-empty sets."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingle_set(text, n) for text in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "k1": [key(s, 77) for s in sets], "k2": [key(s, 99991) for s in sets]})
+            k1 = [key(s, 77) for s in sets]
+            met = [[{"id": i, "need": c} for i, c in needs(s, k, num, den)] for s, k in zip(sets, k1, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "k1": k1, "k2": [key(s, 99991) for s in sets], "schemes": met})
 
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
-    made = rows.mapInPandas(tokens, "doc_id string, n_shingles long, k1 long, k2 long")
+    made = rows.mapInPandas(tokens, "doc_id string, n_shingles long, k1 long, k2 long, schemes array<struct<id: long, need: int>>")
     base = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"))
-    return base, cut(reps, "reps")
+    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.first("schemes").alias("schemes"))
+    return base.drop("schemes"), cut(reps, "reps")
 
 
-def candidate_edges(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Star edges (of class keys k1) between sets that share a signature; batches combine theirs before the shuffle.
+def candidate_groups(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(id, component): classes by scheme that may have partners, in groups that no link leaves.
 
-    Signatures go from the texts straight into the one shuffle: a table of them would be as large as the texts.
+    Signatures go from the texts straight into the one shuffle: a table of them would be as large as the texts. Those of one
+    class alone go at once. A class that shares fewer signatures than any partner of it would share goes too, which is
+    what most documents with a common passage do; the rest is grouped.
     """
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = {}
+            made = {}  # copies within a batch send one row a signature
             for text in pdf["text"]:
                 s = shingle_set(text, n)
-                if len(s):
-                    made.setdefault(key(s, 77), signatures(s, num, den).view(np.int64))
-            sig = np.concatenate([*made.values(), np.zeros(0, np.int64)]).astype(np.int64)
-            node = np.repeat(np.fromiter(made, np.int64, len(made)), [len(x) for x in made.values()])
-            order = np.lexsort((node, sig))
-            node, sig = node[order], sig[order]
-            first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-            via = node[first][np.cumsum(first) - 1]
-            own = np.unique(np.stack([via, node], 1)[~first & (via != node)], axis=0)
-            yield pd.DataFrame({"sig": np.append(sig[first], mix(own[:, 1].astype(np.int64).view(np.uint64)).view(np.int64)), "node": np.append(node[first], own[:, 1]), "via": np.append(node[first], own[:, 0])})
-
-    rows = only(docs, "text").mapInPandas(combine, "sig long, node long, via long")
-    # a batch's own edges (node <> via) pass through; other rows meet the least node of their signature
-    least = F.first("node").over(Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    edges = rows.withColumn("least", least).select(F.explode(F.array(F.struct(F.col("via").alias("src"), F.col("node").alias("dst")), F.struct(F.when(F.col("node") == F.col("via"), F.col("least")).otherwise(F.col("via")).alias("src"), F.col("node").alias("dst")))).alias("e"))
-    return edges.select("e.src", "e.dst").where("src <> dst").distinct()
+                k1 = key(s, 77)
+                if len(s) and k1 not in made:
+                    made[k1] = [(scheme_id(k1, b), x.view(np.int64)) for b, x in signatures(s, num, den)]
+            flat = [x for v in made.values() for x in v]
+            yield pd.DataFrame({"sig": np.concatenate([*(x for _, x in flat), np.zeros(0, np.int64)]).astype(np.int64), "id": np.repeat(np.array([i for i, _ in flat], np.int64), [len(x) for _, x in flat])})
+
+    by = Window.partitionBy("sig")
+    rows = only(docs, "text").mapInPandas(emit, "sig long, id long").withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by))
+    shared = cut(rows.where("lo <> hi").select("sig", "id").distinct(), "shared")
+    need = reps.select(F.inline("schemes"))
+    able = shared.groupBy("id").agg(F.count("*").alias("n")).join(need, "id").where("n >= need").select("id").distinct()
+    left = cut(shared.join(able, "id", "left_semi"), "shared")
+    least = left.groupBy("sig").agg(F.min("id").alias("src"))
+    return connected_components(left.join(least, "sig").select("src", F.col("id").alias("dst")).where("src <> dst")).withColumnRenamed("node", "id")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link when den * overlap >= num * union."""
     spark = docs.sparkSession
-    base, reps = classes(docs, n)
-    group = connected_components(candidate_edges(docs, n, num, den)).withColumnRenamed("node", "k1")
-    members = cut(group.join(reps, "k1").select("node", "component", "n_shingles"), "members")
+    base, reps = classes(docs, n, num, den)
+    named = reps.select("node", "n_shingles", F.inline("schemes"))
+    members = cut(candidate_groups(docs, reps, n, num, den).join(named, "id").select("node", "component", "n_shingles").distinct(), "members")
     load = members.groupBy("component").agg(F.sum("n_shingles").alias("load"))
     members = members.join(load, "component").select("node", "component", F.ceil(F.col("load") / BLOCK).cast("int").alias("chunks"))
     members = cut(members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
@@ -302,9 +330,9 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, search) -> Da
     known = members.select("node", "component").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     size = known.groupBy("component", "label").agg(F.count("*").alias("n"))
     most = size.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("main"))
-    facts = cut(known.join(most, "component").select(F.col("node").alias("doc_id"), "label", "main"), "facts")
-    told = large.join(F.broadcast(facts) if facts.count() <= FEW else facts, "doc_id")
-    chunk = members.join(facts.where("label <> main"), members["node"] == facts["doc_id"]).select("component", F.col("chunk").alias("a"), "chunks").distinct()
+    facts = cut(known.join(most, "component").select(F.col("node").alias("doc_id"), "component", "label", "main"), "facts")
+    told = large.join(F.broadcast(facts) if facts.count() <= FEW else facts, ["doc_id", "component"])
+    chunk = members.withColumnRenamed("node", "doc_id").join(facts.where("label <> main"), ["doc_id", "component"]).select("component", F.col("chunk").alias("a"), "chunks").distinct()
     pairs = cut(chunk.select("component", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b")).where("a <> b"), "pairs")
     # one pass over the sets: each goes to the pairs where its block is searched, and if it is sought itself, to those of its own block
     asked = pairs.groupBy("component", F.col("b").alias("chunk")).agg(F.collect_list(F.struct("a", "b", F.lit(False).alias("ask"))).alias("at"))
