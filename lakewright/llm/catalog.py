@@ -81,7 +81,7 @@ def _license_sql() -> str:
     rows = ", ".join(f"('{k}', {len(b)}, [{', '.join(repr(x) for x in b)}])" for k, b in licenses.templates(licenses.TEMPLATES))
     return f"""
 with t(license, n, b) as (values {rows}),
-p as (select doc_id, row_number() over () as r, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g') as x from documents),
+p as (select doc_id, row_number() over () as r, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g') as x from documents),
 u as (select r, unnest(list_distinct(list_concat(string_split(x, chr(10)), list_transform(regexp_split_to_array(x, '\\n *\\n'), lambda y: replace(y, chr(10), ' ')), [replace(x, chr(10), ' ')]))) as u from p),
 w as (select r, list_filter(string_split(u, ' '), lambda y: y <> '') as w from u),
 a as (select r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as a from w where len(w) > 1),

@@ -12,6 +12,7 @@ one word has no bigram and matches nothing. Repeated rows get equal results; tex
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,6 +41,19 @@ def templates(given: dict[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
     return [(k, bigrams(t)) for k in sorted(given) for t in given[k] if bigrams(t)]
 
 
+def anchors(known: list[tuple[str, list[str]]], t: float) -> list[str]:
+    """Bigrams of which any unit that matches some template holds at least one.
+
+    A match at ``t`` holds t / (2 - t) of a template's bigrams or more, so one at least of any set that is larger than the rest;
+    the longest bigrams are taken, as the rarest.
+    """
+    out = set()
+    for _, b in known:
+        spare = int(len(b) * (1 - t / (2 - t)) + 1e-9)
+        out |= set(sorted(b, key=lambda x: (-len(x), x))[: spare + 1])
+    return sorted(out)
+
+
 def _hits(words: Column, known: list[tuple[str, list[str]]], t: float) -> Column:
     """Matches of one unit's words: array of (dice, licence), pruned by size."""
     low = min(len(b) for _, b in known) * t / (2 - t)
@@ -65,12 +79,20 @@ def scan(docs: DataFrame, given: dict[str, tuple[str, ...]] | None = None, thres
     """
     known = templates(TEMPLATES if given is None else given)
     docs = docs.drop(*(c for c in ("license", "license_dice", "license_hits") if c in docs.columns))
-    plain = F.regexp_replace(F.translate(F.coalesce(docs["text"], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9\n]+", " ")
+    low = F.lower(F.coalesce(docs["text"], F.lit("")))
+    plain = F.regexp_replace(low, "[^a-z0-9\n]+", " ")
     # units: lines, paragraphs and the text; of equal units one is compared
     paragraphs = F.transform(F.split(plain, "\n *\n"), lambda b: F.translate(b, "\n", " "))
     units = F.array_distinct(F.concat(F.split(plain, "\n"), paragraphs, F.array(F.translate(plain, "\n", " "))))
     words = F.transform(units, lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
     hits = F.array_distinct(F.flatten(F.transform(words, lambda w: _hits(w, known, threshold))))
-    out = docs.withColumn("license_hits", hits)
+    # a text without the longer word of any anchor (or the whole anchor, if both words are short) has no unit that matches
+    found = anchors(known, threshold)
+    marks = sorted({w for x in found if len(w := max(x.split(), key=len)) > 4})
+    short = [x.replace(" ", "[^a-z0-9]+") for x in found if len(max(x.split(), key=len)) <= 4]
+    held = reduce(Column.__or__, [F.contains(low, F.lit(m)) for m in marks] + [low.rlike(x) for x in short])
+    hits = F.when(held, hits).otherwise(F.array().cast("array<struct<dice:double,license:string>>"))
+    # a generator of one row, so that the plan doesn't copy the expression to each place that reads it
+    out = docs.select("*", F.inline(F.array(F.struct(hits.alias("license_hits")))))
     out = out.withColumn("_best", F.get(F.array_sort(F.transform("license_hits", lambda h: F.struct((-h["dice"]).alias("d"), h["license"].alias("license")))), F.lit(0)))
     return out.select(*(out[c] for c in docs.columns), F.col("_best.license").alias("license"), F.coalesce(-F.col("_best.d"), F.lit(0.0)).alias("license_dice"), "license_hits")
