@@ -75,9 +75,10 @@ def scan(q: np.ndarray, qr: np.ndarray, x: np.ndarray, xr: np.ndarray, norms: np
             if len(alive) <= 2 * k:
                 break
     score = x[alive] @ q
-    if len(alive) > k:  # all ties of the k-th stay, for the smaller id
-        keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-        alive, score = alive[keep], score[keep]
+    if len(alive) > k:  # all near ties of the k-th stay: a matrix product rounds equal rows differently
+        keep = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * np.sqrt((q @ q) * norms[alive].max())
+        alive = alive[keep]
+    score = np.cumsum(x[alive] * q, axis=1)[:, -1]  # summed in order of columns, so equal vectors tie exactly
     order = np.lexsort((ids[alive], -score))[:k]
     return [(int(ids[alive[j]]), float(score[j])) for j in order]
 
