@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by inner product, with an adaptive dimension scan.
 
 Index: spherical k-means on a bounded sample (``SAMPLE`` rows with the least hash of the id) gives inverted lists; every
-row is put on the list of its nearest centre. Vectors are rotated at random, so that the first dimensions of any
+row is put on the list of its nearest centre, but for a first list of ``FIRST`` sampled rows, which all queries visit and which gives
+each a bound on its k-th best score. Vectors are rotated at random, so that the first dimensions of any
 are a fair sample of all. A query visits the lists nearest to it until they hold a share of all rows. On a list, candidates are
 scanned in blocks of columns: after each block a hypothesis test on the partial distance (scaled to all dimensions, with
-a margin that shrinks as 1 / sqrt(columns seen)) abandons those that are surely farther than the k-th best so far. The
+a margin that shrinks as 1 / sqrt(columns seen)) abandons those that are surely farther than the bound allows. The
 inner product of vectors of any norm becomes a distance by |q|^2 + |x|^2 - 2 q.x. Survivors are scored on the original
 vectors in double precision.
 
 Lists longer than ``CHUNK`` are dealt to chunks by a hash of the id, so copies of one vector don't meet in one task, and each
-chunk returns its k best. Null and zero vectors, and vectors that hold null or non-finite components, take no part; nor do vectors
+chunk returns its k best; queries meet a chunk in blocks of about ``QUERIES``. Null and zero vectors, and vectors that hold null or non-finite components, take no part; nor do vectors
 whose length is not the commonest. Of rows that share an id the one with the least vector counts. Fewer than k
 candidates: all are returned.
 """
@@ -27,6 +28,8 @@ from lakewright.storage import cut
 
 #: Rows of the fit's sample, most lists, rows a chunk of a list, columns a block, the test's margin.
 SAMPLE, LISTS, CHUNK, COLUMNS, MARGIN = 20_000, 1024, 2048, 16, 2.1
+#: Rows of the first list, queries a block, queries scanned together.
+FIRST, QUERIES, TOGETHER = 2048, 8192, 256
 
 
 def usable(table: DataFrame, key: str, vec: str) -> DataFrame:
@@ -58,29 +61,49 @@ def centres(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def scan(q: np.ndarray, qr: np.ndarray, x: np.ndarray, xr: np.ndarray, norms: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, float]]:
-    """The k best of a chunk for one query, as (id, score): scanned in column blocks with early abandoning."""
-    dims = len(qr)
-    alive = np.flatnonzero(ids != own)
-    if len(alive) > 4 * k:
-        first = alive[: 2 * k]
-        best = np.sort(x[first] @ q)[::-1][k - 1]  # the k-th best of a few gives a first bound
-        limit = norms + qr @ qr - 2 * best
-        partial = np.zeros(len(ids))
-        for lo in range(0, dims - COLUMNS, COLUMNS):
-            seen = lo + COLUMNS
-            d = xr[alive, lo:seen] - qr[lo:seen]
-            partial[alive] += np.einsum("ij,ij->i", d, d)
-            alive = alive[partial[alive] * dims / seen <= np.maximum(limit[alive], 0) * (1 + MARGIN / np.sqrt(seen)) ** 2 + 1e-9]
-            if len(alive) <= 2 * k:
-                break
-    score = x[alive] @ q
-    if len(alive) > k:  # all near ties of the k-th stay: a matrix product rounds equal rows differently
-        keep = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9 * np.sqrt((q @ q) * norms[alive].max())
-        alive = alive[keep]
-    score = np.cumsum(x[alive] * q, axis=1)[:, -1]  # summed in order of columns, so equal vectors tie exactly
-    order = np.lexsort((ids[alive], -score))[:k]
-    return [(int(ids[alive[j]]), float(score[j])) for j in order]
+def best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, slack: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(row of q, id, exact score) of the k best of each row of ``scores`` (approximate; -inf: none), near ties within ``slack`` settled exactly."""
+    if scores.shape[1] > k:  # a matrix product rounds equal vectors differently, so near ties of the k-th stay
+        scores = np.where(scores >= (np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] - slack)[:, None], scores, -np.inf)
+    i, j = np.nonzero(scores > -np.inf)
+    exact = np.concatenate([np.cumsum(q[i[lo : lo + 8192]] * x[j[lo : lo + 8192]], axis=1)[:, -1] for lo in range(0, len(i), 8192)] or [np.zeros(0)])  # summed in order of columns: equal vectors tie
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return list(zip(i[keep].tolist(), ids[j[keep]].tolist(), exact[keep].tolist(), strict=True))
+
+
+def scan(q: np.ndarray, qr: np.ndarray, bound: np.ndarray, own: np.ndarray, x: np.ndarray, xr: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(row of q, id, score) of the k best rows of a chunk for each query, scanned in column blocks with early abandoning.
+
+    ``bound``: a score that the query's k-th best reaches at least. A block of columns is read for the rows that some query still holds.
+    """
+    dims, alive, rows = qr.shape[1], own[:, None] != ids, np.arange(len(ids))
+    norms, sizes = np.einsum("ij,ij->i", xr, xr), np.einsum("ij,ij->i", qr, qr)
+    slack = 1e-9 * (np.sqrt(sizes * norms.max()) + 1e-300)
+    limit = np.maximum(norms + (sizes - 2 * (bound - slack))[:, None], 0)
+    dots, seen_q, seen_x = np.zeros_like(limit), np.zeros(len(q)), np.zeros(len(ids))
+    for lo in range(0, dims, COLUMNS):
+        seen = min(lo + COLUMNS, dims)
+        dots += qr[:, lo:seen] @ xr[rows, lo:seen].T
+        if seen == dims:
+            break
+        seen_q += np.einsum("ij,ij->i", qr[:, lo:seen], qr[:, lo:seen])
+        seen_x += np.einsum("ij,ij->i", xr[rows, lo:seen], xr[rows, lo:seen])
+        alive &= (seen_q[:, None] + seen_x - 2 * dots) * (dims / seen / (1 + MARGIN / np.sqrt(seen)) ** 2) <= limit
+        some = alive.any(0)
+        if some.sum() < 0.8 * len(rows):  # rows that all queries abandoned go
+            rows, seen_x = rows[some], seen_x[some]
+            alive, dots, limit = alive[:, some], dots[:, some], limit[:, some]
+    return best(np.where(alive & (dots >= (bound - slack)[:, None]), dots, -np.inf), q, x[rows], ids[rows], slack, k)
+
+
+def packed(vectors: np.ndarray) -> list[bytes]:
+    return [v.tobytes() for v in np.ascontiguousarray(vectors)]
+
+
+def unpacked(column: pd.Series, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dims)
 
 
 def search(table: DataFrame, is_query, k: int = 20, share: float = 0.8, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -94,44 +117,63 @@ def search(table: DataFrame, is_query, k: int = 20, share: float = 0.8, key: str
     out = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], out)
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
+    sample = [(r.vec_id, r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    first_ids, first = np.array([i for i, _ in sample[:FIRST]], np.int64), np.array([v for _, v in sample[:FIRST]])
+    sample = np.array([v for _, v in sample])
+    dims, turn = sample.shape[1], rotation(sample.shape[1])
     mid = centres(sample, int(np.clip(np.sqrt(total), 1, min(LISTS, len(sample)))))
-    turn = rotation(sample.shape[1])
+    top = np.sqrt((first * first).sum(1).max())
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array(pdf["v"].tolist()).reshape(len(pdf), -1)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "list": (x @ mid.T).argmax(1) if len(pdf) else [], "v": pdf["v"]})
+            pdf = pdf[~pdf["vec_id"].isin(first_ids)]
+            x = np.array(pdf["v"].tolist(), np.float64).reshape(-1, dims)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), "list": (x @ mid.T).argmax(1).astype(np.int32), "v": packed(x)})
 
-    listed = cut(rows.mapInPandas(assign, "vec_id long, list int, v array<double>"), "lists")
+    listed = cut(rows.mapInPandas(assign, "vec_id long, list int, v binary"), "lists")
     counts = {r.list: r.n for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     sizes = np.array([counts.get(i, 0) for i in range(len(mid))])
-    enough = min(total, max(4 * k + 1, int(share * total)))
+    enough = min(int(sizes.sum()), max(4 * k + 1, int(share * total)))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["v"].tolist()).reshape(len(pdf), -1)
-            near = np.argsort(-(x @ mid.T), axis=1, kind="stable") if len(pdf) else np.zeros((0, 1), int)
-            n = [int(np.searchsorted(np.cumsum(sizes[r]), enough)) + 1 for r in near]
-            yield pd.DataFrame({"query_id": pdf["vec_id"], "list": [[int(j) for j in r[:m] if sizes[j]] for r, m in zip(near, n, strict=True)], "q": pdf["v"]})
-
-    chunks = F.create_map(*[F.lit(int(z)) for i, s in enumerate(sizes) if s for z in (i, -(-s // CHUNK))])
-    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(visit, "query_id long, list array<int>, q array<double>").select("query_id", "q", F.explode("list").alias("list"))
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1))).select("list", "chunk", "query_id", "q")
-    held = listed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int")).select("list", "chunk", "vec_id", "v")
-
-    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            right = right.sort_values("vec_id")
-            x, ids = np.array(right["v"].tolist()), right["vec_id"].to_numpy()
-            xr = x @ turn
-            norms = np.einsum("ij,ij->i", xr, xr)
-            for query, q in zip(left["query_id"], left["q"], strict=True):
-                q = np.asarray(q)
-                found += [(query, i, s) for i, s in scan(q, q @ turn, x, xr, norms, ids, query, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    partial = asked.groupBy("list", "chunk").cogroup(held.groupBy("list", "chunk")).applyInPandas(both, "query_id long, vec_id long, score double")
+        for whole in batches:
+            for at in range(0, len(whole), TOGETHER):
+                pdf = whole.iloc[at : at + TOGETHER]
+                q, own = np.array(pdf["v"].tolist(), np.float64).reshape(-1, dims), pdf["vec_id"].to_numpy()
+                scores = np.where(own[:, None] != first_ids, q @ first.T, -np.inf)
+                found = best(scores, q, first, first_ids, 1e-9 * top * np.sqrt((q * q).sum(1)), k)
+                hits = [[] for _ in own]
+                for i, j, s in found:
+                    hits[i].append({"vec_id": j, "score": s})
+                bound = [h[-1]["score"] if len(h) == k else -np.inf for h in hits]
+                near = np.argsort(-(q @ mid.T), axis=1, kind="stable")
+                n = [int(np.searchsorted(np.cumsum(sizes[r]), enough)) + 1 for r in near]
+                lists = [[int(j) for j in r[:m] if sizes[j]] for r, m in zip(near, n, strict=True)]
+                yield pd.DataFrame({"query_id": own, "list": lists, "q": packed(q), "bound": bound, "hits": hits})
+
+    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(visit, "query_id long, list array<int>, q binary, bound double, hits array<struct<vec_id: long, score: double>>")
+    asked = cut(asked, "asked")
+    blocks = -(-asked.count() // QUERIES)
+    found = asked.select("query_id", F.inline("hits"))
+    if sizes.sum():
+        chunks = F.create_map(*[F.lit(int(z)) for i, s in enumerate(sizes) if s for z in (i, -(-s // CHUNK))])
+        sent = asked.select("query_id", "q", "bound", F.explode("list").alias("list"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+        sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1))).select("list", "chunk", "block", "query_id", "q", "bound")
+        held = listed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int"))
+        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))))).select("list", "chunk", "block", "vec_id", "v")
+
+        def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out: list[tuple[int, int, float]] = []
+            if len(left) and len(right):
+                x, ids = unpacked(right["v"], dims), right["vec_id"].to_numpy()
+                xr = x @ turn
+                for at in range(0, len(left), TOGETHER):
+                    part = left.iloc[at : at + TOGETHER]
+                    q, own = unpacked(part["q"], dims), part["query_id"].to_numpy()
+                    out += [(own[i], j, s) for i, j, s in scan(q, q @ turn, part["bound"].to_numpy(), own, x, xr, ids, k)]
+            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+        by = ["list", "chunk", "block"]
+        found = found.union(sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(both, "query_id long, vec_id long, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return partial.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

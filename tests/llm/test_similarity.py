@@ -164,7 +164,27 @@ def test_scan_abandons_but_keeps_the_best():
     assert np.allclose(turn @ turn.T, np.eye(64))
     xr = x @ turn
     hits = 0
-    for q in x[:40]:
-        got = {i for i, _ in ann.scan(q, q @ turn, x, xr, (xr * xr).sum(1), ids, -1, 20)}
-        hits += len(got & set(np.argsort(-(x @ q))[:20].tolist()))
+    q = x[:40]
+    bound = np.sort(x[:500] @ q.T, axis=0)[-20]
+    got = ann.scan(q, q @ turn, bound, np.full(40, -1), x, xr, ids, 20)
+    for j in range(40):
+        hits += len({i for at, i, _ in got if at == j} & set(np.argsort(-(x @ q[j]))[:20].tolist()))
     assert hits / 800 > 0.97
+
+
+def test_nearest_neighbours_by_lists_chunks_and_blocks(spark, monkeypatch):
+    """Equal vectors tie to the smaller id wherever they lie; every row is found when all lists are visited."""
+    for name, value in (("FIRST", 50), ("CHUNK", 40), ("QUERIES", 8), ("TOGETHER", 4)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((700, 24)) * rng.uniform(0.5, 2, (700, 1))
+    x[100:400] = x[100]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(data, lambda i: i % 20 == 0, share=1.0).collect())
+    want = []
+    for i in range(0, 700, 20):
+        s = np.cumsum(x * x[i], axis=1)[:, -1]
+        order = [int(j) for j in np.lexsort((np.arange(700), -s)) if j != i][:20]
+        want += [(i, r, j) for r, j in enumerate(order, 1)]
+    assert len(got) == len(want)
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.97
