@@ -2,7 +2,8 @@
 
 Index: spherical k-means on a bounded sample (``SAMPLE`` rows with the least hash of the id) gives inverted lists; every
 row is put on the list of its nearest centre, but for a first list of ``FIRST`` sampled rows, which all queries visit and which gives
-each a bound on its k-th best score. Vectors are rotated at random, so that the first dimensions of any
+each a bound on its k-th best score. The other lists are visited in rounds, nearest first, each ending at ``GROWTH`` times as many rows as the one
+before: the bound found by then keeps what a round returns for a query to a few times k at any size. Vectors are rotated at random, so that the first dimensions of any
 are a fair sample of all. A query visits the lists nearest to it until they hold a share of all rows. On a list, candidates are
 scanned in blocks of columns: after each block a hypothesis test on the partial distance (scaled to all dimensions, with
 a margin that shrinks as 1 / sqrt(columns seen)) abandons those that are surely farther than the bound allows. The
@@ -28,8 +29,8 @@ from lakewright.storage import cut
 
 #: Rows of the fit's sample, most lists, rows a chunk of a list, columns a block, the test's margin.
 SAMPLE, LISTS, CHUNK, COLUMNS, MARGIN = 20_000, 1024, 2048, 16, 2.1
-#: Rows of the first list, queries a block, queries scanned together.
-FIRST, QUERIES, TOGETHER = 2048, 8192, 256
+#: Rows of the first list, how much more each round visits, queries a block, queries scanned together.
+FIRST, GROWTH, QUERIES, TOGETHER = 2048, 8, 8192, 256
 
 
 def usable(table: DataFrame, key: str, vec: str) -> DataFrame:
@@ -134,6 +135,9 @@ def search(table: DataFrame, is_query, k: int = 20, share: float = 0.8, key: str
     counts = {r.list: r.n for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # LISTS rows at most
     sizes = np.array([counts.get(i, 0) for i in range(len(mid))])
     enough = min(int(sizes.sum()), max(4 * k + 1, int(share * total)))
+    ends = [FIRST * GROWTH]  # rows visited by the end of each round
+    while ends[-1] < enough:
+        ends.append(ends[-1] * GROWTH)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -145,35 +149,42 @@ def search(table: DataFrame, is_query, k: int = 20, share: float = 0.8, key: str
                 hits = [[] for _ in own]
                 for i, j, s in found:
                     hits[i].append({"vec_id": j, "score": s})
-                bound = [h[-1]["score"] if len(h) == k else -np.inf for h in hits]
                 near = np.argsort(-(q @ mid.T), axis=1, kind="stable")
                 n = [int(np.searchsorted(np.cumsum(sizes[r]), enough)) + 1 for r in near]
-                lists = [[int(j) for j in r[:m] if sizes[j]] for r, m in zip(near, n, strict=True)]
-                yield pd.DataFrame({"query_id": own, "list": lists, "q": packed(q), "bound": bound, "hits": hits})
+                turns = [np.searchsorted(ends, np.cumsum(sizes[r]) - sizes[r], "right") for r in near]  # the round in which a list is due
+                lists = [[{"list": int(j), "turn": int(t)} for j, t in zip(r[:m], ts, strict=False) if sizes[j]] for r, ts, m in zip(near, turns, n, strict=True)]
+                yield pd.DataFrame({"query_id": own, "lists": lists, "q": packed(q), "hits": hits})
 
-    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(visit, "query_id long, list array<int>, q binary, bound double, hits array<struct<vec_id: long, score: double>>")
+    asked = rows.where(is_query(F.col("vec_id"))).mapInPandas(visit, "query_id long, lists array<struct<list: int, turn: int>>, q binary, hits array<struct<vec_id: long, score: double>>")
     asked = cut(asked, "asked")
     blocks = -(-asked.count() // QUERIES)
-    found = asked.select("query_id", F.inline("hits"))
-    if sizes.sum():
-        chunks = F.create_map(*[F.lit(int(z)) for i, s in enumerate(sizes) if s for z in (i, -(-s // CHUNK))])
-        sent = asked.select("query_id", "q", "bound", F.explode("list").alias("list"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-        sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1))).select("list", "chunk", "block", "query_id", "q", "bound")
-        held = listed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int"))
-        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))))).select("list", "chunk", "block", "vec_id", "v")
-
-        def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple[int, int, float]] = []
-            if len(left) and len(right):
-                x, ids = unpacked(right["v"], dims), right["vec_id"].to_numpy()
-                xr = x @ turn
-                for at in range(0, len(left), TOGETHER):
-                    part = left.iloc[at : at + TOGETHER]
-                    q, own = unpacked(part["q"], dims), part["query_id"].to_numpy()
-                    out += [(own[i], j, s) for i, j, s in scan(q, q @ turn, part["bound"].to_numpy(), own, x, xr, ids, k)]
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-        by = ["list", "chunk", "block"]
-        found = found.union(sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(both, "query_id long, vec_id long, score double"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    found = asked.select("query_id", F.inline("hits")).withColumn("rank", ranked)
+    if not sizes.sum():
+        return found.select("query_id", "rank", "vec_id", "score")
+    chunks = F.create_map(*[F.lit(int(z)) for i, s in enumerate(sizes) if s for z in (i, -(-s // CHUNK))])
+    held = listed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int"))
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))))).select("list", "chunk", "block", "vec_id", "v")
+
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, float]] = []
+        if len(left) and len(right):
+            x, ids = unpacked(right["v"], dims), right["vec_id"].to_numpy()
+            xr = x @ turn
+            for at in range(0, len(left), TOGETHER):
+                part = left.iloc[at : at + TOGETHER]
+                q, own = unpacked(part["q"], dims), part["query_id"].to_numpy()
+                out += [(own[i], j, s) for i, j, s in scan(q, q @ turn, part["bound"].to_numpy(), own, x, xr, ids, k)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    by = ["list", "chunk", "block"]
+    for r in range(len(ends)):
+        bound = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        due = asked.select("query_id", "q", F.filter("lists", lambda x: x["turn"] == r).alias("lists")).where(F.size("lists") > 0).join(bound, "query_id", "left")
+        sent = due.select("query_id", "q", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.explode("lists.list").alias("list"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+        sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("list")] - 1))).select(*by, "query_id", "q", "bound")
+        new = sent.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(both, "query_id long, vec_id long, score double")
+        found = found.drop("rank").union(new).withColumn("rank", ranked).where(F.col("rank") <= k)
+        if r + 1 < len(ends):
+            found = cut(found, "nearest")
+    return found.select("query_id", "rank", "vec_id", "score")

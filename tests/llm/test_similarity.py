@@ -174,7 +174,7 @@ def test_scan_abandons_but_keeps_the_best():
 
 def test_nearest_neighbours_by_lists_chunks_and_blocks(spark, monkeypatch):
     """Equal vectors tie to the smaller id wherever they lie; every row is found when all lists are visited."""
-    for name, value in (("FIRST", 50), ("CHUNK", 40), ("QUERIES", 8), ("TOGETHER", 4)):
+    for name, value in (("FIRST", 50), ("GROWTH", 3), ("CHUNK", 40), ("QUERIES", 8), ("TOGETHER", 4)):
         monkeypatch.setattr(ann, name, value)
     rng = np.random.default_rng(6)
     x = rng.standard_normal((700, 24)) * rng.uniform(0.5, 2, (700, 1))
