@@ -41,23 +41,35 @@ def templates(given: dict[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
     return [(k, bigrams(t)) for k in sorted(given) for t in given[k] if bigrams(t)]
 
 
-def anchors(known: list[tuple[str, list[str]]], t: float) -> list[str]:
-    """Bigrams of which any unit that matches some template holds at least one.
+def anchors(known: list[tuple[str, list[str]]], t: float) -> tuple[list[str], list[str]]:
+    """(words, bigrams) of which any unit that matches some template holds at least one.
 
-    A match at ``t`` holds t / (2 - t) of a template's bigrams or more, so one at least of any set that is larger than the rest;
-    the longest bigrams are taken, as the rarest.
+    A match at ``t`` holds t / (2 - t) of a template's bigrams or more, so one at least of any set that is larger than the rest. Words
+    of five letters or more that cover most such sets come first; what they leave open takes its longest bigrams.
     """
-    out = set()
-    for _, b in known:
-        spare = int(len(b) * (1 - t / (2 - t)) + 1e-9)
-        out |= set(sorted(b, key=lambda x: (-len(x), x))[: spare + 1])
-    return sorted(out)
+    words, pairs, open_ = [], [], [(int(len(b) * (1 - t / (2 - t)) + 1e-9) + 1, set(b)) for _, b in known]
+    long = sorted({w for _, b in known for x in b for w in x.split() if len(w) > 4})
+    while open_:
+        gain = {w: sum(min(need, sum(w in x.split() for x in b)) for need, b in open_) for w in long}
+        word = max(long, key=lambda w: (gain[w], len(w)), default=None)
+        if word is not None and gain[word]:
+            words.append(word)
+            split = [(b, {x for x in b if word in x.split()}) for _, b in open_]
+        else:
+            pairs.append(max(sorted(open_[0][1]), key=len))
+            split = [(b, b & {pairs[-1]}) for _, b in open_]
+        open_ = [(need - len(met), b - met) for (need, _), (b, met) in zip(open_, split, strict=True) if need > len(met)]
+    return sorted(words), sorted(pairs)
 
 
 def _hits(words: Column, known: list[tuple[str, list[str]]], t: float) -> Column:
     """Matches of one unit's words: array of (dice, licence), pruned by size."""
-    low = min(len(b) for _, b in known) * t / (2 - t)
-    set_ = F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    low, top = min(len(b) for _, b in known) * t / (2 - t), max(len(b) for _, b in known) * (2 - t) / t
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
     table = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for k, b in known])
 
     def against(a: Column) -> Column:
@@ -68,8 +80,10 @@ def _hits(words: Column, known: list[tuple[str, list[str]]], t: float) -> Column
 
     none = F.array().cast("array<struct<dice:double,license:string>>")
     # a one-element array binds the set to a name, so it is made once
-    made = F.flatten(F.transform(F.array(set_), against))
-    return F.when(F.size(words) - 1 >= low, made).otherwise(none)
+    made = F.flatten(F.transform(F.array(pairs(words)), against))
+    # a set is no smaller than that of its unit's beginning: one that is too large there is pruned before it is made
+    fits = (F.size(words) - 1 <= top) | (F.size(pairs(F.slice(words, 1, 4 * int(top) + 2))) <= top)
+    return F.when((F.size(words) - 1 >= low) & fits, made).otherwise(none)
 
 
 def scan(docs: DataFrame, given: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -79,19 +93,23 @@ def scan(docs: DataFrame, given: dict[str, tuple[str, ...]] | None = None, thres
     """
     known = templates(TEMPLATES if given is None else given)
     docs = docs.drop(*(c for c in ("license", "license_dice", "license_hits") if c in docs.columns))
-    low = F.lower(F.coalesce(docs["text"], F.lit("")))
-    plain = F.regexp_replace(low, "[^a-z0-9\n]+", " ")
-    # units: lines, paragraphs and the text; of equal units one is compared
-    paragraphs = F.transform(F.split(plain, "\n *\n"), lambda b: F.translate(b, "\n", " "))
-    units = F.array_distinct(F.concat(F.split(plain, "\n"), paragraphs, F.array(F.translate(plain, "\n", " "))))
-    words = F.transform(units, lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
-    hits = F.array_distinct(F.flatten(F.transform(words, lambda w: _hits(w, known, threshold))))
-    # a text without the longer word of any anchor (or the whole anchor, if both words are short) has no unit that matches
-    found = anchors(known, threshold)
-    marks = sorted({w for x in found if len(w := max(x.split(), key=len)) > 4})
-    short = [x.replace(" ", "[^a-z0-9]+") for x in found if len(max(x.split(), key=len)) <= 4]
-    held = reduce(Column.__or__, [F.contains(low, F.lit(m)) for m in marks] + [low.rlike(x) for x in short])
-    hits = F.when(held, hits).otherwise(F.array().cast("array<struct<dice:double,license:string>>"))
+    marks, pairs = anchors(known, threshold)
+    none = F.array().cast("array<struct<dice:double,license:string>>")
+
+    def held(x: Column) -> Column:
+        """Whether a text or unit has an anchor; without one nothing in it matches."""
+        return reduce(Column.__or__, [F.contains(x, F.lit(m)) for m in marks] + [x.rlike(m.replace(" ", "[^a-z0-9]+")) for m in pairs])
+
+    def of_text(plain: Column) -> Column:
+        # units: lines, paragraphs and the text; of equal units one is compared
+        paragraphs = F.transform(F.split(plain, "\n *\n"), lambda b: F.translate(b, "\n", " "))
+        units = F.filter(F.array_distinct(F.concat(F.split(plain, "\n"), paragraphs, F.array(F.translate(plain, "\n", " ")))), held)
+        words = F.transform(units, lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
+        return F.array_distinct(F.flatten(F.transform(words, lambda w: _hits(w, known, threshold))))
+
+    # one-element arrays bind the lower-cased and the normalised text to names, so each is made once
+    of_held = lambda x: F.flatten(F.transform(F.array(F.regexp_replace(x, "[^a-z0-9\n]+", " ")), of_text))
+    hits = F.flatten(F.transform(F.array(F.lower(F.coalesce(docs["text"], F.lit("")))), lambda x: F.when(held(x), of_held(x)).otherwise(none)))
     # a generator of one row, so that the plan doesn't copy the expression to each place that reads it
     out = docs.select("*", F.inline(F.array(F.struct(hits.alias("license_hits")))))
     out = out.withColumn("_best", F.get(F.array_sort(F.transform("license_hits", lambda h: F.struct((-h["dice"]).alias("d"), h["license"].alias("license")))), F.lit(0)))
