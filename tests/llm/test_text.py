@@ -33,6 +33,44 @@ def test_licences_by_brute_force(spark):
     assert licenses.scan(one, threshold=0.5).first().license_dice == pytest.approx(want)
 
 
+def test_licences_in_longer_lines_wrapped_lines_and_whole_texts(spark):
+    prose = "some other words of a read me file that has no notice at all "
+    mit = licenses.TEXTS["MIT"]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    rows = [
+        (1, "This project is released under the MIT License."),
+        (2, "Licensed under the MIT License."),
+        (3, f"{prose * 4}\nCopyright (c) 2020 A. Person\n{mit}\n{prose * 30}"),
+        (4, f"{prose * 9}{mpl} {prose * 9}"),
+        (5, f"{prose * 300}released\nunder the\nMIT license {prose * 300}"),
+        (6, prose * 300),
+        (7, f"{licenses.TEXTS['BSD-2-Clause']}\n{prose * 40}"),
+    ]
+    got = {r.doc_id: (r.license, r.license_dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(1, 8)] == ["MIT", "MIT", "MIT", "MPL-2.0", "MIT", None, "BSD-2-Clause"]
+    assert [got[i][1] for i in (1, 2, 3, 5, 7)] == [1.0] * 5
+
+
+def test_licence_windows_by_brute_force(spark):
+    rnd, t = random.Random(5), 0.7
+    given = {"A": ("a b c d a b e f",), "B": ("c d e g g h a b c d i",)}
+    known = licenses.templates(given)
+    texts = [" ".join(rnd.choice("abcdefghixyz") for _ in range(30)) for _ in range(60)]
+    texts += [" ".join([*x.split()[:12], *"a b c x d a b e f".split(), *x.split()[12:]]) for x in texts[:20]]
+    got = {r.doc_id: {(round(h.dice, 9), h.license) for h in r.license_hits} for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), given, t).collect()}
+    seen = 0
+    for i, text in enumerate(texts):
+        words, want = text.split(), set()
+        for (name, b), length in zip(known, licenses.spans(given), strict=True):
+            sets = [set(licenses.bigrams(" ".join(words[x : x + n + 1]))) for x in range(len(words)) for n in range(1, int(length * (2 - t) / t + 1e-9) + 1) if x + n < len(words)]
+            best = max(2 * len(a & set(b)) / (len(a) + len(b)) for a in sets)
+            if best >= t:
+                want.add((round(best, 9), name))
+        assert got[i] == want
+        seen += len(want)
+    assert seen >= 20
+
+
 def test_branches_are_ranked_and_formatted(spark):
     # 1 -> 2 -> 4; 1 -> 3; 5 alone; a cycle 8 <-> 9; in tree null: 1 -> 2
     nodes = [("a", 1, None, 1.0, "user", "q"), ("a", 2, 1, 2.0, "assistant", "x<"), ("a", 4, 2, 9.0, "user", None), ("a", 3, 1, 3.0, "assistant", "\\>#"), ("a", 5, 77, 0.0, None, ""), ("a", 8, 9, 1.0, "u", "t"), ("a", 9, 8, 1.0, "u", "t"), (None, 1, None, 1.0, "user", "n"), (None, 2, 1, 1.0, "assistant", "m")]
