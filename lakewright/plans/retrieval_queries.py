@@ -224,7 +224,8 @@ def participation_ratio(spark, sf):
 def random_baseline(spark, sf):
     w = Window.partitionBy("query")
     n = inputs.labels(spark, sf).withColumn("mx", F.max("value").over(w)).groupBy("query").agg(F.count("*").alias("n"), F.max("value").alias("m"), F.avg("value").alias("a"), F.count_if(F.col("value") >= F.col("mx") - 0.01).alias("near"), F.count_if(F.col("value") == F.col("mx")).alias("best"))
-    return n.agg(F.round(F.avg(F.col("best") / F.col("n")), 6).alias("hit1"), F.round(F.avg(F.least(F.lit(3), F.col("n")) / F.col("n")), 6).alias("top3"), F.round(F.avg(F.col("m") - F.col("a")), 6).alias("regret"), F.round(F.avg(ranking.random_hits(500, F.col("near"), 10)), 6).alias("gap_10"))
+    n = n.crossJoin(inputs.vectors(spark, sf).agg(F.count("*").alias("pool")))
+    return n.agg(F.round(F.avg(F.col("best") / F.col("n")), 6).alias("hit1"), F.round(F.avg(F.least(F.lit(3), F.col("n")) / F.col("n")), 6).alias("top3"), F.round(F.avg(F.col("m") - F.col("a")), 6).alias("regret"), F.round(F.avg(ranking.random_hits(F.col("pool"), F.col("near"), 10)), 6).alias("gap_10"))
 
 
 @query(None)

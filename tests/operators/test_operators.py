@@ -142,3 +142,20 @@ def test_ingest_resumes_and_keeps_one_row_an_id(spark, tmp_path):
     go()
     go()
     assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def test_random_baseline_takes_the_real_pool(spark, tmp_path):
+    from lakewright.plans import catalog
+
+    n = 1200
+    rows = [(i, [1.0, float(i)], i % 2) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    chances = []
+    for q in range(0, n, 50):
+        values = [(q * 7919 + i * 104729) % 101 / 100.0 for i in range(n) if i % 2 == q % 2 and i != q]
+        near, miss = sum(v >= max(values) - 0.01 for v in values), 1.0
+        for j in range(10):
+            miss *= (n - near - j) / (n - j)
+        chances.append(1 - miss)
+    got = catalog.queries()["random_baseline"](spark, str(tmp_path)).first()
+    assert got.gap_10 == round(sum(chances) / len(chances), 6)
