@@ -2,16 +2,18 @@
 
 A document's set holds its distinct n-word shingles (lower-cased A-Z only). Sets are compared as 64-bit hashes.
 
-1. Equal sets form one class; only a class's least doc_id goes on (aggregated with map-side combine).
-2. Candidates are lossless and need no frequencies: linked sets differ in at most ``k`` shingles, where k follows
-   from the size range of their bucket (for a Jaccard of 2/3 or more), so of m > k parts of the hash range m - k at least are
-   equal. Each part of each set gives one signature, as selective as the several shingles in it; a set that shares
-   fewer signatures than m - k has no partner, so a passage that many documents share makes few candidates. Copies
-   within a batch send their signatures once.
-3. Candidate groups (connected components of equal signatures) become blocks of bounded size. Each block is searched
-   by T-occurrence: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap for documents
-   that reach T - L, and probes the long lists by binary search. Groups of several blocks then search the documents
-   that are outside the group's largest component against every other block, so no link across blocks is lost.
+1. Equal sets form one class; only a class's least doc_id goes on (aggregated with map-side combine). Texts are hashed here
+   once; only those of candidates are hashed again.
+2. Candidates are lossless for any threshold. In the order of the hashes, linked sets share at least ``floor_of`` shingles of
+   their prefixes, which hold the shingles that may differ and as many more. On a shingle's list, sorted by set size, only
+   neighbours whose sizes allow a link count. A set with too few prefix shingles that it shares with such neighbours has no
+   partner and goes, which is what most documents with a common passage do; this is done twice. Shingles that a bounded sample
+   shows on many sets are dealt by set, not by shingle, so that no list of a frequent passage meets in one task.
+3. Candidate groups (connected components along the lists) become blocks of bounded size. Each block is searched by
+   T-occurrence: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap for documents that
+   reach T - L, and probes the long lists by binary search. In groups of several blocks a few documents of each component
+   then meet a few of the largest one, which joins the parts of a large family; what is still outside the largest component is
+   searched for in every block, so no link across blocks is lost.
 4. Links' connected components give each document its ``component_id``.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing. Rows that share a doc_id
@@ -25,16 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakewright.llm.common import only
 from lakewright.operators.components import connected_components
-from lakewright.storage import cut
-
-#: Shingles that a block's part of one side holds about.
-BLOCK = 200_000
-#: Candidate documents up to which their ids are broadcast (8 bytes each).
-FEW = 500_000
+from lakewright.storage import cut, shuffle_width
+
+#: Shingles that a block holds about, and those of the documents that are sought in one block together.
+BLOCK, SOUGHT = 50_000, 400_000
+#: Classes of the sample that shows frequent shingles, on how many of them a shingle is frequent, most such shingles.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 200_000
+#: Documents of the largest component, and of each other one, that meet first.
+PIVOTS, ASKING = 64, 4
+#: Candidate documents up to which their ids are broadcast (8 bytes each); classes that a task remembers.
+FEW, REMEMBERED = 500_000, 1_000_000
+#: DivideSkip's weight of a long list's binary search against heap steps.
+MU = 0.0085
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -83,79 +91,6 @@ def key(s: np.ndarray, salt: int) -> int:
     return int(np.add.reduce(mix(s + np.uint64(salt)), dtype=np.uint64).astype(np.uint64).view(np.int64)) if len(s) else 0
 
 
-def buckets(top: int = 1 << 40) -> list[int]:
-    """Upper bounds of the size ranges: 8, then each half as large again."""
-    out = [8]
-    while out[-1] < top:
-        out.append(int(out[-1] * 1.5) + 1)
-    return out
-
-
-_BOUNDS = np.array(buckets())
-
-
-def parts_of(bucket: int, num: int, den: int) -> int:
-    """Most shingles that two linked sets differ in, the smaller of them in ``bucket``."""
-    return int(_BOUNDS[bucket]) * (den - num) // num
-
-
-def schemes(n: int, num: int, den: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, k, parts) of the schemes in which a set of ``n`` shingles can meet its partners: its own, and the next smaller."""
-    own = int(np.searchsorted(_BOUNDS, n))
-    for bucket in (own, own - 1):
-        if bucket < 0 or bucket < own and n * num > int(_BOUNDS[bucket]) * den:  # no smaller partner there
-            continue
-        k = parts_of(bucket, num, den)
-        if k:
-            low = max(1, int(_BOUNDS[bucket - 1]) + 1 if bucket else 1)
-            m = k + 1 + int(np.ceil(0.15 * k))
-            void = m * np.exp(-low / m)  # parts that are empty, about
-            yield bucket, k, m + (int(void + 3 * np.sqrt(void)) if m > 20 else 0)
-
-
-def _parts(s: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes, the parts that aren't empty, where each begins) for ``m`` equal ranges of a seed's hashes."""
-    h = s if seed == 0 else np.sort(mix(s ^ mix(np.array([seed], np.uint64))))
-    edges = (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)).clip(0, 1.8446744073709549e19).astype(np.uint64)
-    bound = np.searchsorted(h, edges)
-    bound[-1] = len(h)
-    full = np.flatnonzero(bound[1:] > bound[:-1])
-    return h, full, bound[full]
-
-
-def scheme_id(k1: int, bucket: int) -> int:
-    """A class's name in one scheme."""
-    return int(mix(np.array([k1], np.int64).view(np.uint64) ^ mix(np.array([bucket + 1], np.uint64))).view(np.int64)[0])
-
-
-def needs(s: np.ndarray, k1: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(scheme id, least number of signatures that the set shares with any partner there) for each scheme."""
-    out = []
-    for bucket, k, m in schemes(len(s), num, den):
-        void = m - len(_parts(s, m, 0)[1])
-        out.append((scheme_id(k1, bucket), max(1, m - k - void)))
-    return out
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, signatures) of a set: two different sets whose Jaccard is num / den or more share some in one bucket.
-
-    The hash range has m > k equal parts, at most k of which differ. A set with m - k or more empty parts
-    gives signatures of a further seed too, until a seed suits it: two sets with as many common empty parts both do so.
-    """
-    out = []
-    for bucket, k, m in schemes(len(s), num, den):
-        made = []
-        for seed in range(40):
-            h, full, at = _parts(s, m, seed)
-            sums = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
-            made.append(mix(sums + mix((full + m * 1000003 + bucket * 8191 * 131071 + seed * 524287).astype(np.uint64))))
-            if len(full) > k:
-                break
-        out.append((bucket, np.concatenate(made)))
-    return out
-
-
 class Block:
     """Inverted lists of some sets, searched by T-occurrence."""
 
@@ -177,7 +112,8 @@ class Block:
         if len(at) < need:
             return np.zeros(0, np.int64)
         lists = at[np.argsort(self.start[at] - self.end[at], kind="stable")]  # longest first
-        long = min(need - 1, int(np.count_nonzero(self.end[lists] - self.start[lists] > 2)))
+        most = int(self.end[lists[0]] - self.start[lists[0]])
+        long = min(need - 1, int(need / (MU * np.log2(max(most, 2)) + 1)))
         short, long_lists = lists[long:], lists[:long]
         found, hits = self._merge(short, need - long)
         keep = ~skip[found] & (self.sizes[found] * den >= n * num) & (self.sizes[found] * num <= n * den)
@@ -218,13 +154,37 @@ class Block:
         return ((lo < end) & (self.doc[np.minimum(lo, len(self.doc) - 1)] == docs)).sum(0) if len(lists) else np.zeros(len(docs), np.int64)
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all documents of a block which links connect; ``asks``: those to search for.
+def _check(num: int, den: int) -> None:
+    if not 0 < num <= den:
+        raise ValueError(f"the least Jaccard {num}/{den} is not in (0, 1]")
+
+
+def _more(size: int, num: int, den: int) -> int:
+    """How many shingles a prefix holds beyond those that may differ; grows with the size."""
+    return max(1, min(-(-size * num // den), size * (den - num) // den))
+
+
+def prefix_length(size: int, num: int, den: int) -> int:
+    """Shingles of a set's prefix, in the order of the hashes; 0 if only an equal set can be linked."""
+    least = -(-size * num // den)  # least overlap with any partner
+    if not size or least == size and size * den // num == size:
+        return 0
+    return size - least + _more(size, num, den)
+
+
+def floor_of(size: Column, num: int, den: int) -> Column:
+    """Least number of prefix shingles that a set shares with any partner: its smallest partner's ``_more``."""
+    small = F.ceil(size * num / den)
+    return F.greatest(F.lit(1), F.least(F.ceil(small * num / den), F.floor(small * (den - num) / den)))
+
+
+def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect all documents of a block which links connect.
 
     Documents with equal ``labels`` are connected already. A link between documents that others connect may be left out.
     """
     block, group, out = Block(sets), labels.copy(), []
-    for i in np.flatnonzero(asks):
+    for i in range(len(ids)):
         if (group == group[i]).all():
             continue
         for j in block.search(sets[i], num, den, group == group[i]):
@@ -234,111 +194,225 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, labe
     return out
 
 
+def links_between(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
+    """One link at least between any two labels that links from ``left`` (doc_id, label, s) to ``right`` connect."""
+    block, out = Block(list(right["s"])), []
+    ids, label = right["doc_id"].to_numpy(), right["label"].to_numpy()
+    own = {x: x for x in left["label"]}
+    near = {x: {x} for x in own}  # labels that are known to be connected
+    for i, mine, s in zip(left["doc_id"], left["label"], left["s"], strict=True):
+        for j in block.search(s, num, den, np.isin(label, list(near[mine]))):
+            if label[j] not in near[mine]:
+                out.append((int(i), int(ids[j])))
+                near[mine].add(label[j])
+    return out
+
+
 def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, k1, k2) of every row; (node, n_shingles, k1, k2, schemes) of each class of equal, non-empty sets."""
+    """(doc_id, n_shingles, k1, k2, prefix) of every row; (node, n_shingles, k1, k2) of each class of equal, non-empty sets.
+
+    A task gives the prefix of a class once, so copies don't repeat it.
+    """
+    none = np.zeros(0, np.int64)
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()
         for pdf in batches:
-            sets = [shingle_set(text, n) for text in pdf["text"]]
-            k1 = [key(s, 77) for s in sets]
-            met = [[{"id": i, "need": c} for i, c in needs(s, k, num, den)] for s, k in zip(sets, k1, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "k1": k1, "k2": [key(s, 99991) for s in sets], "schemes": met})
-
-    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
-    made = rows.mapInPandas(tokens, "doc_id string, n_shingles long, k1 long, k2 long, schemes array<struct<id: long, need: int>>")
+            for at in range(0, len(pdf), 1000):
+                part, out = pdf.iloc[at : at + 1000], []
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                    s = shingle_set(text, n)
+                    k = key(s, 77), key(s, 99991)
+                    new = k not in seen
+                    if new and len(seen) < REMEMBERED:
+                        seen.add(k)
+                    out.append((doc_id, len(s), *k, s[: prefix_length(len(s), num, den)].view(np.int64) if new else none))
+                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "k1", "k2", "prefix"])
+
+    # ids travel as text: pandas would make floats of ids beside nulls
+    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string"))
+    made = rows.mapInPandas(tokens, "doc_id string, n_shingles long, k1 long, k2 long, prefix array<long>")
     base = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
-    reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.first("schemes").alias("schemes"))
-    return base.drop("schemes"), cut(reps, "reps")
-
-
-def candidate_groups(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, component): classes by scheme that may have partners, in groups that no link leaves.
-
-    Signatures go from the texts straight into the one shuffle: a table of them would be as large as the texts. Those of one
-    class alone go at once. A class that shares fewer signatures than any partner of it would share goes too, which is
-    what most documents with a common passage do; the rest is grouped.
+    whole = base.where("n_shingles > 0 and doc_id is not null")
+    reps = whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"))
+    return base, cut(reps, "reps")
+
+
+def _frequent(base: DataFrame) -> DataFrame:
+    """(sig): the shingles that are on many of a bounded sample of classes; at most MOST_FREQUENT."""
+    step = max(1, base.count() // SAMPLE)
+    some = base.where(F.pmod(F.xxhash64("k1", F.lit(5)), F.lit(step)) == 0).select("k1", F.explode("prefix").alias("sig"))
+    n = some.distinct().groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    return n.orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).select("sig", F.lit(True).alias("hot"))
+
+
+def _beside(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (sig, id, n, hot) with ``before``: the next smaller set of the list, if the sizes allow a link; and ``shared``."""
+    by = Window.partitionBy("sig", F.when(F.col("hot"), F.col("id")).otherwise(F.lit(0))).orderBy("n", "id")
+    fits = lambda small, large: large * num <= small * den
+    near = rows.select(
+        "*",
+        F.lag("id").over(by).alias("i0"),
+        F.lag("n").over(by).alias("n0"),
+        F.lead("id").over(by).alias("i1"),
+        F.lead("n").over(by).alias("n1"),
+    )
+    low = (F.col("i0") != F.col("id")) & fits(F.col("n0"), F.col("n"))
+    high = (F.col("i1") != F.col("id")) & fits(F.col("n"), F.col("n1"))
+    near = near.withColumn("before", F.when(low, F.col("i0")))
+    return near.withColumn("shared", F.col("hot") | F.coalesce(low, F.lit(False)) | F.coalesce(high, F.lit(False)))
+
+
+def candidates(base: DataFrame, frequent: DataFrame, num: int, den: int) -> DataFrame:
+    """(id): classes (by k1) that share enough prefix shingles to have partners."""
+    rows = base.select(F.explode("prefix").alias("sig"), F.col("k1").alias("id"), F.col("n_shingles").alias("n"))
+    rows = _marked(rows, frequent)
+    for _ in range(2):
+        shared = cut(_beside(rows, num, den).where("shared").select("sig", "id", "n", "hot").distinct(), "shared")
+        counts = shared.groupBy("id", "n").agg(F.count("*").alias("c"))
+        able = cut(counts.where(F.col("c") >= floor_of(F.col("n"), num, den)).select("id").distinct(), "able")
+        rows = shared.join(able, "id", "left_semi")
+    return able
+
+
+def _marked(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(frequent), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def candidate_groups(sets: DataFrame, frequent: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, component): candidates in groups that no link leaves.
+
+    The candidates' whole sets are ordered by how many of them hold a shingle, the rarest first. Linked sets share a shingle of
+    their prefixes in that order too, where a common passage comes last, so it ties only sets that hold little else.
     """
+    rows = _marked(sets.select("id", "n", F.explode("s").alias("sig")), frequent)
+    counts = rows.where(~F.col("hot")).groupBy("sig").agg(F.count("*").alias("f")).where("f > 1")
+    # frequent shingles are the last in the order by their mark; they are dealt by set, as they need no count
+    dealt = rows.withColumn("key", F.when(F.col("hot"), F.xxhash64("sig", "id")).otherwise(F.col("sig")))
+    told = dealt.join(cut(counts.withColumnRenamed("sig", "key"), "counts"), "key", "left")
+    rank = F.dense_rank().over(Window.partitionBy("id").orderBy("hot", F.coalesce("f", F.lit(1)), "sig"))
+    differ = F.col("n") - F.ceil(F.col("n") * num / den)
+    kept = told.withColumn("r", rank).where((F.col("r") <= differ + 1) & (F.col("hot") | F.col("f").isNotNull()))
+    left = _beside(kept.select("sig", "id", "n", "hot").distinct(), num, den).where("shared")
+    # along a list each set is tied to the one before it; a frequent shingle ties its sets by its own name
+    edges = left.select(F.col("id").alias("src"), F.when(F.col("hot"), F.col("sig")).otherwise(F.col("before")).alias("dst"))
+    return connected_components(edges.where("dst is not null").distinct()).withColumnRenamed("node", "id")
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = {}  # copies within a batch send one row a signature
-            for text in pdf["text"]:
-                s = shingle_set(text, n)
-                k1 = key(s, 77)
-                if len(s) and k1 not in made:
-                    made[k1] = [(scheme_id(k1, b), x.view(np.int64)) for b, x in signatures(s, num, den)]
-            flat = [x for v in made.values() for x in v]
-            yield pd.DataFrame({"sig": np.concatenate([*(x for _, x in flat), np.zeros(0, np.int64)]).astype(np.int64), "id": np.repeat(np.array([i for i, _ in flat], np.int64), [len(x) for _, x in flat])})
-
-    by = Window.partitionBy("sig")
-    rows = only(docs, "text").mapInPandas(emit, "sig long, id long").withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by))
-    shared = cut(rows.where("lo <> hi").select("sig", "id").distinct(), "shared")
-    need = reps.select(F.inline("schemes"))
-    able = shared.groupBy("id").agg(F.count("*").alias("n")).join(need, "id").where("n >= need").select("id").distinct()
-    left = cut(shared.join(able, "id", "left_semi"), "shared")
-    least = left.groupBy("sig").agg(F.min("id").alias("src"))
-    return connected_components(left.join(least, "sig").select("src", F.col("id").alias("dst")).where("src <> dst")).withColumnRenamed("node", "id")
+
+def _spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Rows dealt by key to a fixed number of tasks: bytes don't tell how long a search takes, so they aren't coalesced."""
+    return df.repartition(max(shuffle_width(df.sparkSession), min(tasks, 20_000)), *keys)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link when den * overlap >= num * union."""
-    spark = docs.sparkSession
+    _check(num, den)
     base, reps = classes(docs, n, num, den)
-    named = reps.select("node", "n_shingles", F.inline("schemes"))
-    members = cut(candidate_groups(docs, reps, n, num, den).join(named, "id").select("node", "component", "n_shingles").distinct(), "members")
-    load = members.groupBy("component").agg(F.sum("n_shingles").alias("load"))
-    members = members.join(load, "component").select("node", "component", F.ceil(F.col("load") / BLOCK).cast("int").alias("chunks"))
-    members = cut(members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
-    few = members.count() <= FEW
-    wanted = members.select(F.col("node").alias("doc_id"), "component", "chunks", "chunk")
-    # rows that share a doc_id are one document; its set is that of the class that it stands for
-    texts = only(docs, "doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    frequent = cut(_frequent(base), "frequent")  # MOST_FREQUENT rows at most
+    named = reps.select("node", F.col("k1").alias("id"))
+    wanted = cut(candidates(base, frequent, num, den).join(named, "id"), "wanted").withColumnRenamed("node", "doc_id")
+    texts = only(docs, "doc_id", "text").join(_few(wanted), "doc_id")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.drop(columns="text").assign(s=[shingle_set(t, n).tobytes() for t in pdf["text"]])
-
-    sets = texts.mapInPandas(to_sets, "doc_id long, component long, chunks int, chunk int, s binary")
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "s"]).sort_values(["doc_id", "s"]).reset_index(drop=True)
-        data = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
-        ids = pdf["doc_id"].to_numpy()
-        asks = pdf["ask"].to_numpy() if "ask" in pdf else np.ones(len(ids), bool)
-        labels = pdf["label"].to_numpy() if "label" in pdf else np.arange(len(ids))
-        found = links_within(ids, data, asks, labels, num, den)
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                made = [shingle_set(t, n) for t in part["text"]]
+                out = pd.DataFrame({"doc_id": part["doc_id"], "id": part["id"], "n": [len(s) for s in made]})
+                out["s"] = [s.view(np.int64) for s in made]
+                # of rows that share a doc_id each stands for its own class
+                yield out[[key(s, 77) == i for s, i in zip(made, part["id"], strict=True)]]
+
+    sets = cut(texts.mapInPandas(to_sets, "doc_id long, id long, n long, s array<long>"), "sets")
+    groups = candidate_groups(sets, frequent, num, den)
+    members = cut(sets.select("doc_id", "id", "n").distinct().join(groups, "id"), "members")
+    load = members.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("k")).where("k > 1")
+    members = members.join(load, "component").withColumn("chunks", F.ceil(F.col("load") / BLOCK).cast("int"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
+    members = cut(members.select("doc_id", "id", "n", "component", "chunks", chunk.alias("chunk")), "members")
+    tasks = 2 * int((members.agg(F.sum("n")).first()[0] or 0) // BLOCK) + 1
+    sets = sets.drop("n").join(_few(members), ["doc_id", "id"])
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["doc_id", "id"]).sort_values(["doc_id", "id"]).reset_index(drop=True)
+        data = [x.view(np.uint64) for x in pdf["s"]]
+        found = links_within(pdf["doc_id"].to_numpy(), data, np.arange(len(pdf)), num, den)
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    first = cut(sets.groupBy("component", "chunk").applyInPandas(search, "src long, dst long"), "links")
-    links = first
+    blocks = _spread(sets, tasks, "component", "chunk").groupBy("component", "chunk")
+    links = cut(blocks.applyInPandas(within, "src long, dst long"), "links")
     if members.where("chunks > 1").take(1):
-        large = texts.where("chunks > 1").mapInPandas(to_sets, sets.schema)
-        links = first.union(across(large, members.where("chunks > 1"), first, search))
+        links = across(sets.where("chunks > 1"), members.where("chunks > 1"), links, num, den)
     label = connected_components(links)
-    nodes = reps.select("k1", "k2", "node").join(label, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    keyed = base.join(nodes, ["k1", "k2"], "left")
-    return keyed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.coalesce("component", "node").alias("component_id")
+    nodes = reps.select("k1", "k2", "node").join(label, "node", "left").select("k1", "k2", component)
+    keyed = base.select("doc_id", "n_shingles", "k1", "k2").join(nodes, ["k1", "k2"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return keyed.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if the rows, counted first, are FEW."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
 
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with label and main: the group's largest label."""
+    label = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+    known = members.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    size = known.groupBy("component", "label").agg(F.count("*").alias("k"))
+    most = size.groupBy("component").agg(F.max(F.struct("k", "label")).alias("m"))
+    return cut(known.join(most.select("component", F.col("m.label").alias("main")), "component"), "labels")
 
-def across(large: DataFrame, members: DataFrame, links: DataFrame, search) -> DataFrame:
-    """Links between different blocks of one candidate group.
 
-    Of any two documents that are not yet connected, one at least is outside the group's largest component: those are
-    searched for in every other block of the group, block by block. ``members``: the keys of ``large``, without the sets.
+def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """``links`` and links between different blocks of one candidate group.
+
+    First a few documents of each label meet a few of the group's largest: a family whose blocks are connected inside falls
+    together. Of any two documents that are not yet connected one at least is outside the largest label: those, dealt to parts
+    of bounded size, are then searched for in every block of the group. ``members``: the keys of ``large``.
     """
-    label = connected_components(links).select("node", F.col("component").alias("label"))
-    known = members.select("node", "component").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    size = known.groupBy("component", "label").agg(F.count("*").alias("n"))
-    most = size.groupBy("component").agg(F.max(F.struct("n", "label")).alias("m")).select("component", F.col("m.label").alias("main"))
-    facts = cut(known.join(most, "component").select(F.col("node").alias("doc_id"), "component", "label", "main"), "facts")
-    told = large.join(F.broadcast(facts) if facts.count() <= FEW else facts, ["doc_id", "component"])
-    chunk = members.withColumnRenamed("node", "doc_id").join(facts.where("label <> main"), ["doc_id", "component"]).select("component", F.col("chunk").alias("a"), "chunks").distinct()
-    pairs = cut(chunk.select("component", "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("b")).where("a <> b"), "pairs")
-    # one pass over the sets: each goes to the pairs where its block is searched, and if it is sought itself, to those of its own block
-    asked = pairs.groupBy("component", F.col("b").alias("chunk")).agg(F.collect_list(F.struct("a", "b", F.lit(False).alias("ask"))).alias("at"))
-    asking = pairs.groupBy("component", F.col("a").alias("chunk")).agg(F.collect_list(F.struct("a", "b", F.lit(True).alias("ask"))).alias("own"))
-    none = F.array().cast("array<struct<a:int,b:int,ask:boolean>>")
-    sent = told.join(asked, ["component", "chunk"], "left").join(asking, ["component", "chunk"], "left")
-    to = F.concat(F.coalesce("at", none), F.when(F.col("label") != F.col("main"), F.coalesce("own", none)).otherwise(none))
-    both = sent.select("doc_id", "component", "label", "s", F.explode(to).alias("t")).select("doc_id", "component", "label", "s", "t.a", "t.b", "t.ask")
-    return both.groupBy("component", "a", "b").applyInPandas(search, "src long, dst long")
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["doc_id", "id", "asks"]).sort_values(["doc_id", "id"]).reset_index(drop=True)
+        pdf["s"] = [x.view(np.uint64) for x in pdf["s"]]
+        asks = pdf["asks"].to_numpy(bool)
+        found = links_between(pdf[asks], pdf[~asks], num, den) if asks.any() and not asks.all() else []
+        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    at = ["doc_id", "id", "component"]
+
+    def met(sought: DataFrame, held: DataFrame, tasks: int) -> DataFrame:
+        """Links between documents that are sought and those held, by (component, part, chunk)."""
+        told = sought.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
+        told = told.groupBy(*at, "label").agg(F.collect_list(F.struct("part", "chunk", "asks")).alias("to"))
+        sent = large.select(*at, "s").join(_few(cut(told, "told")), at)
+        sent = sent.select(*at, "label", "s", F.inline("to"))
+        groups = _spread(sent, tasks, "component", "part", "chunk").groupBy("component", "part", "chunk")
+        return cut(groups.applyInPandas(search, "src long, dst long"), "links")
+
+    def parts(sought: DataFrame) -> DataFrame:
+        """``sought`` with a part, and each group's number of parts."""
+        n = sought.groupBy("component").agg(F.ceil(F.sum("n") / SOUGHT).cast("int").alias("parts"))
+        return sought.join(n, "component").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+
+    # a few of each label against a few of the largest
+    known = _labelled(members, links)
+    order = Window.partitionBy("component", "label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rank = known.withColumn("r", F.row_number().over(order))
+    some = parts(rank.where((F.col("label") != F.col("main")) & (F.col("r") <= ASKING)))
+    pivots = rank.where((F.col("label") == F.col("main")) & (F.col("r") <= PIVOTS))
+    pivots = pivots.join(some.select("component", "part").distinct(), "component")
+    keep = [*at, "label", "part", F.lit(0).alias("chunk")]
+    links = links.union(met(some.select(*keep), pivots.select(*keep), 1))
+
+    # what is still outside the largest label against every block
+    known = _labelled(members, links)
+    sought = cut(parts(known.where(F.col("label") != F.col("main"))), "sought")
+    if not sought.take(1):
+        return links
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    held = known.join(sought.select("component", "part").distinct(), "component")
+    asked = sought.select(*at, "label", "part", every)
+    tasks = asked.select("component", "part", "chunk").distinct().count()
+    return links.union(met(asked, held.select(*at, "label", "part", "chunk"), tasks))
