@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakewright.llm.common import only
-from lakewright.storage import shuffle_width
+from lakewright.storage import cut, shuffle_width
 
-#: Uniform lanes of 16 bits, sketch lanes of 24 bits, bytes a window, characters a range of documents.
-LANES, SKETCH, WINDOW, RANGE = 64, 256, 16, 6_000_000
+#: Uniform lanes of 16 bits, sketch lanes of 24 bits, bytes a window.
+LANES, SKETCH, WINDOW = 64, 256, 16
+#: Characters a range of documents, most ranges, rows of the sample that sets the ranges' ends.
+RANGE, MOST_RANGES, SAMPLE = 6_000_000, 50_000, 200_000
 
 
 def _sketch(raw: bytes) -> np.ndarray:
@@ -67,14 +69,20 @@ def decode(s: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """1 for equal fingerprints, else the sketches' cosine, from 0 to 1."""
-    if (a[0] == b[0]).all() and (a[1] == b[1]).all():
+    """1 for equal fingerprints, else the sketches' cosine, from 0 to 1; a function of the fingerprint strings."""
+    x, y = (_signed(v[1]) for v in (a, b))
+    if (a[0] == b[0]).all() and (x == y).all():
         return 1.0
-    x, y = a[1].astype(float), b[1].astype(float)
+    x, y = x.astype(float), y.astype(float)
     n = np.sqrt((x @ x) * (y @ y))
     return float(min(1.0, max(0.0, (x @ y) / n))) if n else 0.0
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Sketch lanes modulo 2^24, from -2^23 to 2^23 - 1."""
+    return (x + (1 << 23)) % (1 << 24) - (1 << 23)
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """``docs`` with fingerprint string."""
 
@@ -85,38 +93,69 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", of(docs["text"]))
 
 
+def _ends(rows: DataFrame) -> list[tuple[int, int]]:
+    """Last (doc_id, hash) of each range but the last, in the order of the rows: from a sample of about SAMPLE rows."""
+    facts = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
+    want = max(shuffle_width(rows.sparkSession), -(-int(facts.chars or 0) // RANGE))
+    width = max(1, min(facts.n, want, MOST_RANGES))
+    step = max(1, facts.n // SAMPLE)
+    some = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    some = some.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(step)) == 0)
+    keys = sorted(((r.doc_id, r.h) for r in some.limit(4 * SAMPLE).collect()), key=lambda k: (-k[0], k[1]))
+    at = sorted({len(keys) * i // width for i in range(1, width)})
+    return list(dict.fromkeys(keys[i] for i in at if i < len(keys)))
+
+
+def _range(ends: list[tuple[int, int]]) -> Column:
+    """How many ends lie before a row (doc_id, h) in the order of the rows: a binary search in one literal; null ids are last."""
+    if not ends:
+        return F.lit(0)
+    table = [F.split(F.lit(",".join(str(e[k]) for e in ends)), ",").cast("array<long>") for k in (0, 1)]
+
+    def step(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        i, h = F.get(table[0], mid), F.get(table[1], mid)
+        less = (i > F.col("doc_id")) | ((i == F.col("doc_id")) & (h < F.col("h")))
+        go = s["lo"] < s["hi"]
+        return F.struct(F.when(go & less, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~less, mid).otherwise(s["hi"]).alias("hi"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi"))
+    rounds = F.array(*[F.lit(0)] * (len(ends).bit_length() + 1))
+    return F.when(F.col("doc_id").isNull(), F.lit(len(ends))).otherwise(F.aggregate(rounds, whole, step, lambda s: s["lo"]))
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
-    """(range, guest, doc_id, text): rows dealt to ranges of descending doc_id, and sorted in them.
+    """(range, guest, doc_id, h, text): rows dealt to ranges of the order, and sorted in them.
 
-    A range ends with guests, the first rows of the next range; the last range's guest is the first row of all. One shuffle
-    of the texts; a range holds about RANGE characters.
+    The order is that of descending doc_id, nulls last, then of the text's hash, so repeated ids are split too. A range ends with
+    its guest, the first row of the next range that has rows; the last range's guest is the first row of all. One shuffle of
+    the texts; a range holds about RANGE characters until there are MOST_RANGES.
     """
     spark = docs.sparkSession
-    rows = only(docs, "doc_id", "text")
-    facts = rows.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
-    width = min(max(1, facts.n), max(shuffle_width(spark), -(-int(facts.chars or 0) // RANGE)))
-    ends = rows.agg(F.percentile_approx("doc_id", [i / width for i in range(1, width)] or [0.5], 100 * width)).first()[0] or []
-    ends = sorted(set(ends))
-    # ranges from the largest ids down, null ids last
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(ends) + 1))
-    ordered = F.array(*map(F.lit, ends)) if ends else F.array().cast("array<long>")
-    rows = rows.withColumn("range", F.coalesce(place, F.size(F.filter(ordered, lambda e: e >= F.col("doc_id"))).cast("int")))
-    firsts = {r.range: r.top for r in rows.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # one row a range
-    order = sorted(firsts)
-    before = {r: order[k - 1] for k, r in enumerate(order)}  # the first row goes to the last range too
-    lead = F.lit(None).cast("int")
-    for r in order:
-        lead = F.when((F.col("range") == r) & F.col("doc_id").eqNullSafe(F.lit(firsts[r])), F.lit(before[r])).otherwise(lead)
-    dealt = rows.withColumn("lead", lead).select("doc_id", "text", F.explode(F.when(F.col("lead").isNull(), F.array(F.struct(F.col("range"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(F.col("lead").alias("range"), F.lit(True).alias("guest"))))).alias("at"))
-    dealt = dealt.select("at.range", "at.guest", "doc_id", "text").repartition(max(1, len(order)), "range")
-    return dealt.sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    rows = only(docs, "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    ends = _ends(rows)
+    dealt = rows.withColumn("range", _range(ends))
+    # each range's first key: one row a range, of which there are MOST_RANGES at most
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.bitwise_not("doc_id").alias("d"), "h")
+    firsts = dealt.groupBy("range").agg(F.min(place).alias("k")).orderBy("range").collect()
+    before = [(r.range, firsts[i - 1].range, None if r.k.z else ~r.k.d, r.k.h) for i, r in enumerate(firsts)]
+    told = spark.createDataFrame(before, "range int, to int, i long, first long")
+    same = (dealt["range"] == told["range"]) & dealt["doc_id"].eqNullSafe(told["i"]) & (dealt["h"] == told["first"])
+    guests = dealt.join(F.broadcast(told), same).select(F.col("to").alias("range"), "doc_id", "h", "text")
+    # of rows that repeat a first key one is a guest
+    guests = cut(guests.groupBy("range").agg(F.min(F.struct("doc_id", "h", "text")).alias("g")), "guests")
+    guests = guests.select("range", F.lit(True).alias("guest"), "g.doc_id", "g.h", "g.text")
+    both = dealt.select("range", F.lit(False).alias("guest"), "doc_id", "h", "text").unionByName(guests)
+    both = both.repartition(max(1, len(firsts)), "range")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text").asc_nulls_first()]
+    return both.sortWithinPartitions("range", "guest", *order)
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has its last n_chars // 2 code points replaced by the first as many of the next document's, in descending
-    doc_id order, nulls last, ties by text. The first document follows the last.
+    doc_id order, nulls last, ties by the text's hash (xxhash64), then by text. The first document follows the last.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +168,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
                     raise ValueError("a range ended without its guest")
                 if held is None and guest:
                     continue
-                v = vector(text)
+                v = held[3] if held is not None and held[2] == text else vector(text)  # repeated rows are hashed once
                 if held is not None:
                     _, hid, htext, hv = held
                     half = len(htext) // 2
