@@ -1,18 +1,20 @@
 """Chat formatting of reply trees.
 
-Messages form trees by (tree_id, node_id, parent_id). Iterative self-joins enumerate the root-to-leaf paths: each round joins the
-table of partial paths, which run from a node up to an ancestor, with itself at that ancestor, so path lengths double and a
-thread of n turns takes log2(n) rounds. Only keys travel in these rounds. A path's score is the mean of its messages' scores; a
-tree's paths are ranked by it (ties: shorter first, then the smaller leaf), the chosen ones get their messages by a join, and each becomes
-one conversation.
+Messages form trees by (tree_id, node_id, parent_id). Iterative self-joins enumerate the root-to-leaf paths. First each round joins
+the table of (node, ancestor, messages between, sum of scores) with itself at the ancestor, so reaches double and a thread of n
+turns takes log2(n) rounds of one short row a node. A path's score is the mean of its messages' scores; a tree's paths
+are ranked by it (ties: shorter first, then the smaller leaf). Then the chosen leaves' ancestors are listed by the same tables, from
+the longest reach down: each round adds to each ancestor known the one that far above it. The paths get their
+messages by a join, and each becomes one conversation.
 
 Template: a message is <turn:ROLE>TEXT</turn> and a line feed; in role and text each of backslash, <, > and # gets a backslash
 before it, so nothing inside a text reads as a control string, and unescaping gives every text back. The loss mask holds the
 spans (in code points) of the assistant's texts.
 
-Null role and null text count as empty. A parent that doesn't exist makes its child a root; nodes on a cycle have no root
-and give no path. Rows that repeat a node's key are not expected of the operator; ``as_chain`` numbers rows, so repeated
-turns are turns of their own, in the order of role and text. Null tree ids form one tree.
+Null role and null text count as empty. A parent that doesn't exist makes its child a root; nodes on a cycle, or below one,
+have no root and give no path. Rows with null node_id are left out. Of rows that repeat (tree_id, node_id) the one with the
+least parent and score counts, and the one with the least role and text. ``as_chain`` numbers rows, so repeated turns are
+turns of their own, in the order of role and text. Null tree ids form one tree.
 """
 
 from __future__ import annotations
@@ -45,24 +47,41 @@ def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
 
     ``nodes``: tree_id, node_id, parent_id, score.
     """
-    keys = only(nodes, "tree_id", "node_id", "parent_id", "score").withColumn("tree_id", F.struct("tree_id"))  # a null id joins too
-    known = keys.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
-    keys = keys.join(known, ["tree_id", "parent_id"], "left")
-    up = keys.select("tree_id", "node_id", F.when(F.col("there"), F.col("parent_id")).alias("top"), F.array("node_id").alias("path"), F.col("score").cast("double").alias("sum"))
-    inner = keys.where("there").select("tree_id", F.col("parent_id").alias("node_id")).distinct()
-    table = cut(up, "paths")
-    leaves = cut(table.join(inner, ["tree_id", "node_id"], "left_anti"), "leaves")  # paths that start at a leaf
-    while leaves.where("top is not null").take(1):
-        # both the leaves' paths and all nodes' paths are lengthened by the path from their upper end
-        far = table.select("tree_id", F.col("node_id").alias("top"), F.col("top").alias("next"), F.col("path").alias("more"), F.col("sum").alias("plus"))
-        longer = lambda t, far=far: t.where("top is not null").join(far, ["tree_id", "top"]).select("tree_id", "node_id", F.col("next").alias("top"), F.concat("more", "path").alias("path"), (F.col("sum") + F.col("plus")).alias("sum")).union(t.where("top is null").select("tree_id", "node_id", "top", "path", "sum"))
-        leaves, table = cut(longer(leaves), "leaves"), cut(longer(table), "paths")
-    scored = leaves.withColumn("score", F.col("sum") / F.size("path"))
-    order = Window.partitionBy("tree_id").orderBy(F.desc("score"), F.size("path"), "node_id")
+    keys = only(nodes, "tree_id", "node_id", "parent_id", "score").where("node_id is not null")
+    tree = F.struct("tree_id").alias("tree")  # a null id joins too
+    least = F.min(F.struct("parent_id", F.col("score").cast("double").alias("score"))).alias("m")
+    one = keys.groupBy(tree, "node_id").agg(least).select("tree", "node_id", "m.parent_id", "m.score")
+    known = one.select("tree", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
+    one = cut(one.join(known, ["tree", "parent_id"], "left"), "nodes")
+    largest = one.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    top = F.when(F.col("there"), F.col("parent_id")).alias("top")
+    reach = cut(one.select("tree", "node_id", top, F.lit(1).cast("long").alias("n"), F.col("score").alias("sum")), "reach")
+    steps = [reach]  # the table of round i holds ancestors 2^i above
+    # a reach as long as the largest tree only comes of a cycle
+    while 1 << (len(steps) - 1) < largest and reach.where("top is not null").take(1):
+        far = [F.col("top").alias("next"), F.col("n").alias("more"), F.col("sum").alias("plus")]
+        above = reach.select("tree", F.col("node_id").alias("top"), *far)
+        longer = reach.where("top is not null").join(above, ["tree", "top"])
+        sums = [(F.col("n") + F.col("more")).alias("n"), (F.col("sum") + F.col("plus")).alias("sum")]
+        longer = longer.select("tree", "node_id", F.col("next").alias("top"), *sums)
+        reach = cut(longer.union(reach.where("top is null")), "reach")
+        steps.append(reach)
+    inner = one.where("there").select("tree", F.col("parent_id").alias("node_id")).distinct()
+    leaves = reach.where("top is null").join(inner, ["tree", "node_id"], "left_anti")
+    scored = leaves.select("tree", F.col("node_id").alias("leaf_id"), "n", (F.col("sum") / F.col("n")).alias("score"))
+    order = Window.partitionBy("tree").orderBy(F.desc("score"), "n", "leaf_id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    if best is not None:
-        ranked = ranked.where(F.col("rank") <= best)
-    return ranked.select("tree_id.tree_id", F.col("node_id").alias("leaf_id"), "path", "score", "rank")
+    ranked = cut(ranked if best is None else ranked.where(F.col("rank") <= best), "leaves")
+    up = cut(ranked.select("tree", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("up")), "steps")
+    for i in range(len(steps) - 1, -1, -1):
+        jump = steps[i].where("top is not null").select("tree", "node_id", "top")
+        above = [F.col("top").alias("node_id"), (F.col("up") + (1 << i)).alias("up")]
+        added = up.join(jump, ["tree", "node_id"]).select("tree", "leaf_id", *above)
+        up = cut(up.union(added), "steps")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "node_id")))
+    whole = up.groupBy("tree", "leaf_id").agg(listed.alias("path"))
+    out = ranked.join(whole, ["tree", "leaf_id"])
+    return out.select("tree.tree_id", "leaf_id", F.col("path.node_id").alias("path"), "score", "rank")
 
 
 def formatted(chosen: DataFrame, messages: DataFrame) -> DataFrame:
@@ -70,11 +89,15 @@ def formatted(chosen: DataFrame, messages: DataFrame) -> DataFrame:
 
     ``messages``: tree_id, node_id, role, text.
     """
-    steps = chosen.select("tree_id", "leaf_id", F.posexplode("path").alias("pos", "node_id"))
-    body = only(messages, "tree_id", "node_id", "role", "text").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
-    told = steps.join(body, steps["tree_id"].eqNullSafe(body["t"]) & (steps["node_id"] == body["n"]))
-    head = F.concat(F.lit("<turn:"), escape(F.col("role")), F.lit(">"))
-    turns = told.groupBy("tree_id", "leaf_id").agg(F.array_sort(F.collect_list(F.struct("pos", head.alias("head"), "text", (F.col("role") == "assistant").alias("own")))).alias("turns"))
+    tree = F.struct("tree_id").alias("tree")
+    steps = chosen.select(tree, "leaf_id", F.posexplode("path").alias("pos", "node_id"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    body = only(messages, "tree_id", "node_id", "role", "text").where("node_id is not null")
+    body = body.groupBy(tree, "node_id").agg(F.min(F.struct(role.alias("role"), text.alias("text"))).alias("m"))
+    told = steps.join(body, ["tree", "node_id"])
+    head = F.concat(F.lit("<turn:"), escape(F.col("m.role")), F.lit(">")).alias("head")
+    turn = F.struct("pos", head, escape(F.col("m.text")).alias("text"), (F.col("m.role") == "assistant").alias("own"))
+    turns = told.groupBy("tree", "leaf_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     tail = F.lit("</turn>\n")
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], tail)), "")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
@@ -84,7 +107,7 @@ def formatted(chosen: DataFrame, messages: DataFrame) -> DataFrame:
         end = start + F.length(t["text"])
         return F.struct((end + F.lit(8)).alias("at"), F.when(t["own"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
 
-    return turns.select("tree_id", "leaf_id", text.alias("conversation"), F.aggregate("turns", begin, step)["spans"].alias("loss_mask"))
+    return turns.select("tree.tree_id", "leaf_id", text.alias("conversation"), F.aggregate("turns", begin, step)["spans"].alias("loss_mask"))
 
 
 def read_back(conversation: str, mask: list) -> tuple[list[tuple[str, str]], str]:
