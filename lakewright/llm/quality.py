@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lakewright.llm.common import only
+from lakewright.storage import cut
 
 #: Hashed content features; metadata features: SOURCES hashed sources and the shape features.
 CONTENT, SOURCES, SHAPES = 512, 32, 14
@@ -135,23 +136,29 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 6000) -> dict | None:
-    """Co-trained views from a bounded sample: at most ``labelled`` + ``pool`` rows reach the driver."""
-    marks = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Co-trained views from a bounded sample: at most ``labelled`` + ``pool`` rows reach the driver.
+
+    The sample takes documents by the least hash of their id; of rows that share an id, the one with the least text and source.
+    """
+    marks = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
+    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = only(docs, "doc_id", "text", "source").where("doc_id is not null")
+    ids = rows.select("doc_id").distinct()
     order = [F.xxhash64(F.col("doc_id"), F.lit(11)), F.col("doc_id")]
-    some = marks.orderBy(*order).limit(labelled)  # a bounded table by its limit
-    if not some.take(1):
+    some = marks.join(ids, "doc_id", "left_semi").orderBy(*order).limit(labelled)
+    none = ids.join(marks, "doc_id", "left_anti").orderBy(*order).limit(pool)
+    chosen = some.select("doc_id", F.col("quality").cast("int").alias("y")).union(none.select("doc_id", F.lit(-1)))
+    chosen = cut(chosen, "chosen")  # labelled + pool rows at most
+    if not chosen.where("y >= 0").take(1):
         return None
-    known = rows.join(F.broadcast(some), "doc_id").select("text", "source", F.col("quality").cast("int").alias("y"))
-    ids = rows.select("doc_id").join(marks, "doc_id", "left_anti").orderBy(*order).limit(pool)
-    other = rows.join(F.broadcast(ids), "doc_id").select("text", "source", F.lit(-1).alias("y"))
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "source")).alias("r"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             yield pd.DataFrame({"h": [hash_text(t) for t in texts], "y": pdf["y"], "c": [content_view(t).tobytes() for t in texts], "m": [metadata_view(t, s).tobytes() for t, s in zip(texts, pdf["source"], strict=True)]})
 
-    pdf = known.union(other).mapInPandas(features, "h long, y int, c binary, m binary").toPandas().sort_values(["y", "h", "c"]).reset_index(drop=True)
+    pdf = one.select("r.text", "r.source", "y").mapInPandas(features, "h long, y int, c binary, m binary").toPandas().sort_values(["y", "h", "c"]).reset_index(drop=True)
     stack = lambda col, n: np.frombuffer(b"".join(pdf[col]), np.float32).reshape(-1, n)
     return co_train(stack("c", CONTENT), stack("m", META), pdf["y"].to_numpy())
 
