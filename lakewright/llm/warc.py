@@ -86,54 +86,54 @@ def ranges(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     return cut.repartition(max(1, min(n, 10_000)), "path", "start")
 
 
-class _Stream:
-    """Members of a gzip file from a place on, decoded piece by piece."""
-
-    def __init__(self, file):
-        self.file = file
-
-    def decode(self, start: int, first: int = 0):
-        """(content, end) of the member at ``start``, or None if it is none; with ``first``, its first bytes alone suffice."""
-        self.file.seek(start)
-        made, out, at = zlib.decompressobj(31), [], start
-        while not made.eof:
-            raw = self.file.read(READ if not first else 512)
-            if not raw:
-                return None
-            try:
-                out.append(made.decompress(raw))
-            except zlib.error:
-                return None
-            at += len(raw) - len(made.unused_data)
-            if first and sum(map(len, out)) >= first:
-                break
-        return b"".join(out), at
-
-
-def members(file, start: int, stop: int) -> Iterator[bytes]:
-    """Contents of the WARC members that start in [start, stop)."""
-    stream, at = _Stream(file), start
-    while at < stop:  # the first true member
+def _is_record(file, at: int) -> bool:
+    """Whether a gzip member that begins as a WARC record starts at ``at``: its first bytes are decoded."""
+    file.seek(at)
+    try:
+        return zlib.decompressobj(31).decompress(file.read(512), 5) == b"WARC/"
+    except zlib.error:
+        return False
+
+
+def _first(file, start: int, stop: int) -> int | None:
+    """Where the first true member of [start, stop) begins."""
+    at = start
+    while at < stop:
         file.seek(at)
         window = file.read(min(READ, stop - at) + len(MAGIC) - 1)
         k = window.find(MAGIC)
-        if k < 0:
-            at += max(1, len(window) - len(MAGIC) + 1)
-            continue
-        at += k
-        if at >= stop:
-            return
-        head = stream.decode(at, 5)
-        if head and head[0].startswith(b"WARC/"):
-            break
-        at += 1
+        while 0 <= k and at + k < stop:
+            if _is_record(file, at + k):
+                return at + k
+            k = window.find(MAGIC, k + 1)
+        at += max(1, len(window) - len(MAGIC) + 1)
+    return None
+
+
+def members(file, start: int, stop: int) -> Iterator[bytes]:
+    """Contents of the WARC members that start in [start, stop): one pass over the bytes, and past ``stop`` for the last."""
+    at = _first(file, start, stop)
+    if at is None:
+        return
+    file.seek(at)
+    read, data = at, b""  # bytes read so far; those that no member has taken yet
     while at < stop:
-        found = stream.decode(at)
-        if found is None:
-            raise ValueError(f"damaged member at byte {at}")
-        if found[0]:
-            yield found[0]
-        at = found[1]
+        made, out, begin = zlib.decompressobj(31), [], at
+        while not made.eof:
+            if not data:
+                data = file.read(min(READ, stop - read) if read < stop else 1 << 16)
+                read += len(data)
+                if not data:
+                    raise ValueError(f"damaged member at byte {begin}")
+            try:
+                out.append(made.decompress(data))
+            except zlib.error as e:
+                raise ValueError(f"damaged member at byte {begin}") from e
+            at += len(data) - len(made.unused_data)
+            data = made.unused_data
+        content = b"".join(out)
+        if content:
+            yield content
 
 
 def parse(content: bytes) -> dict:
