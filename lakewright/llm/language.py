@@ -6,7 +6,8 @@ likelihood (BIC) does not get worse. The n-gram tables are fitted on a documente
 rows (``per_lang`` rows a language in expectation, chosen by a hash of the id).
 
 Null text, empty text and text without letters get ``und`` and score 0; so does every document when there is
-nothing to learn from. Repeated rows get equal results; text of any length is used whole.
+nothing to learn from. Languages of equal share tie to the first in code-point order. Repeated rows get equal results; text of
+any length is used whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from lakewright.storage import cut
 
 #: Hash buckets of the n-gram tables.
 BUCKETS = 4096
-#: EM rounds and documents a batch.
-ROUNDS, BATCH = 12, 64
+#: EM rounds and documents a batch; most languages that are learned: those with the most rows, ties in code-point order.
+ROUNDS, BATCH, LANGUAGES = 12, 64, 200
 UNKNOWN = "und"
 
 
@@ -51,12 +52,13 @@ def fit(docs: DataFrame, per_lang: int = 1500) -> tuple[list[str], np.ndarray]:
     language by a hash of the id. The tables are summed in partial counts, of fixed size a language.
     """
     rows = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    by = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = {r.lang: r.n for r in by.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS))
     rates = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1e6, 1e6 * per_lang / sizes[k]))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < rates[F.col("lang")])
+    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) < rates[F.col("lang")])  # null: not learned
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
