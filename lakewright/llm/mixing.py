@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lakewright.llm.common import only, word_count
+from lakewright.operators.ordering import running
 from lakewright.storage import cut
 
 #: Rows a bucket, about; the weights by rank of source; most copies of a source's words.
@@ -45,17 +46,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     the remaining share does not fill are full, the others get weight x share.
     """
     by = sizes.groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy("source_key")
-    rank = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank.cast("int") + 1))
+    by = running(by, [F.col("source_key")], number="place")
+    rank = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
+    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank + 1))
     by = by.withColumn("top", F.lit(most) * F.col("source_size")).withColumn("stops", F.col("top") / F.col("weight"))
-    up = Window.orderBy("stops", "source_key")
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("full", F.coalesce(F.sum("top").over(before), F.lit(0.0))).withColumn("light", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    whole = Window.partitionBy()
-    by = by.withColumn("share", (F.sum("source_size").over(whole) - F.col("full")) / (F.sum("weight").over(whole) - F.col("light")))
-    level = F.min(F.when(F.col("share") <= F.col("stops"), F.struct("stops", "source_key", "share"))).over(whole)["share"]
-    return by.withColumn("target", F.least(F.col("top"), F.col("weight") * F.coalesce(level, F.col("share")))).select("source_key", "source_size", "target")
+    by = running(by, [F.col("stops"), F.col("source_key")], {"full": "top", "light": "weight"})
+    whole = by.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("heavy"))
+    by = by.crossJoin(F.broadcast(whole))  # one row
+    by = by.withColumn("share", (F.col("all") - F.col("full")) / (F.col("heavy") - F.col("light")))
+    level = by.agg(F.min(F.when(F.col("share") <= F.col("stops"), F.struct("row", "share")))["share"].alias("level"))
+    target = F.least(F.col("top"), F.col("weight") * F.coalesce("level", "share"))
+    return by.crossJoin(F.broadcast(level)).select("source_key", "source_size", target.alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
@@ -99,14 +100,17 @@ def _draws(ids: pd.Series, level: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{level}:{i}:{k}".encode(), digest_size=8).digest(), "big") / 2.0**64 for k, i in enumerate(ids)])
 
 
-_FLOWN = "doc_id string, source_key string, size long, source_size long, target double, whole int, p double, again long"
+_FLOWN = "doc_id string, source_key string, size long, nth long, source_size long, target double, whole int, p double, again long"
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(doc_id, source_key, size, source_size, target, copies, taken) of every row of ``docs``."""
     # ids travel as text: pandas would make floats of ids beside nulls
-    rows = only(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("string"), source_key(docs).alias("source_key"), word_count(F.col("text")).alias("size"))
-    rows = cut(rows, "sizes")
+    rows = only(docs, "doc_id", "text", "source")
+    rows = rows.select(F.col("doc_id").cast("string"), source_key(rows).alias("source_key"), word_count(F.col("text")).alias("size"))
+    # rows that share id, source and size are counted and numbered, so that they too are spread over buckets
+    same = rows.groupBy("doc_id", "source_key", "size").agg(F.count("*").alias("k"))
+    rows = cut(same.select("doc_id", "source_key", "size", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("nth")), "sizes")
     goal = targets(rows, weights, most)
     # a source is joined by its target and number of buckets; both are one row a source
     count = rows.groupBy("source_key").agg(F.count("*").alias("n"))
@@ -114,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + F.lit(EPS)).cast("int")
     rows = rows.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), ratio - whole))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / BUCKET)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "nth"), F.ceil(F.col("n") / BUCKET)))
     largest = rows.groupBy().agg(F.max("n")).first()[0] or 0
     done, level = [], 0
     while largest:
@@ -142,7 +146,7 @@ def _by_source(rows: DataFrame, per: DataFrame) -> DataFrame:
 
 def _fly(rows: DataFrame, level: int, last: bool) -> DataFrame:
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "nth"], na_position="last").reset_index(drop=True)
         size = pdf["size"].to_numpy(float)
         p = flight(pdf["p"].to_numpy(float), size, _draws(pdf["doc_id"], level))
         if last:
@@ -159,13 +163,19 @@ def _fly(rows: DataFrame, level: int, last: bool) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it: its columns, rows of no copies left out.
 
-    Rows of one doc_id and size get the same number of copies each, their total spread from the first on.
+    Rows of one doc_id, source and size get the same number of copies each, their total spread from the first by text hash on.
+    Texts go through one shuffle at most: the window is dealt as the join is.
     """
-    take = mix(docs).groupBy("doc_id", "source_key", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("k")).where("c > 0")
-    rows = docs.withColumn("_k", F.struct(docs["doc_id"].cast("long").alias("i"), source_key(docs).alias("s"), word_count(docs["text"]).alias("n")))
-    same = Window.partitionBy("_k").orderBy(F.xxhash64("text"))
-    joined = rows.join(take, rows["_k.i"].eqNullSafe(take["doc_id"]) & (rows["_k.s"] == take["source_key"]) & (rows["_k.n"] == take["size"]))
-    nth = joined.withColumn("_nth", F.row_number().over(same))
-    copies = F.floor(F.col("c") / F.col("k")) + (F.col("_nth") <= F.col("c") % F.col("k")).cast("long")
-    spread = nth.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    key = ["_i", "_z", "_s", "_n"]
+    named = lambda i: [F.coalesce(i, F.lit(0)).alias("_i"), i.isNull().alias("_z")]
+    made = mix(docs)
+    take = made.select(*named(F.col("doc_id")), F.col("source_key").alias("_s"), F.col("size").alias("_n"), "copies")
+    take = take.groupBy(*key).agg(F.sum("copies").alias("_c"), F.count("*").alias("_k")).where("_c > 0")
+    id_ = docs["doc_id"].cast("long")
+    rows = docs.select("*", *named(id_), source_key(docs).alias("_s"), word_count(docs["text"]).alias("_n"))
+    joined = rows.join(take, key)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(docs["text"])))
+    copies = F.floor(F.col("_c") / F.col("_k")) + (nth <= F.col("_c") % F.col("_k")).cast("long")
+    spread = joined.withColumn("_copies", copies).where("_copies > 0")
+    spread = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return spread.select(*(docs[c] for c in docs.columns))
