@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
+import sys
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakewright.llm import ann, chat, fingerprints, jaccard, language, licenses, mixing, packing, quality, warc
@@ -66,9 +70,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's stages, one after another, over all documents."""
-    import corpus_pipeline
+    return _corpus_pipeline().run(spark, sf_dir)
+
 
-    return corpus_pipeline.run(spark, sf_dir)
+def _corpus_pipeline():
+    """The module at the repository's top, wherever Python was started."""
+    if "corpus_pipeline" not in sys.modules:
+        spec = importlib.util.spec_from_file_location("corpus_pipeline", Path(__file__).parents[2] / "corpus_pipeline.py")
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        sys.modules["corpus_pipeline"] = module
+    return sys.modules["corpus_pipeline"]
 
 
 def queries() -> dict:

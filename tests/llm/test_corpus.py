@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lakewright.llm import mixing, packing
 from lakewright.llm.common import word_count
 from lakewright.storage import table
@@ -82,9 +81,27 @@ def test_mix_edge_cases(spark):
     assert mixing.mix(docs).count() == 6 and mixing.mix(docs.limit(0)).count() == 0
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
+    got, want = {}, {}
+    for r in out.collect():
+        got[r.doc_id, r.text, r.source] = got.get((r.doc_id, r.text, r.source), 0) + 1
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.copies
+    assert sum(got.values()) == sum(want.values())
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_spread_over_buckets(spark, monkeypatch):
+    """Rows without an id that are all alike are no hot bucket."""
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    seen = []
+    fly = mixing._fly
+    monkeypatch.setattr(mixing, "_fly", lambda rows, level, last: seen.append(rows) or fly(rows, level, last))
+    docs = spark.createDataFrame([(None, "a b", "x")] * 2000 + [(1, "c " * 3000, "y")], DOCS)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 2001 and max(r["count"] for r in seen[0].groupBy("source_key", "bucket").count().collect()) < 120
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
+
+
 def test_mixed_rows_are_the_mix(spark, sf):
     docs = table(spark, sf, "documents").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")))
     want = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
@@ -109,11 +126,59 @@ def test_packing_is_whole_and_tight(spark, sf):
     assert sum(v[0].bin_length for v in bins.values()) < 1.1 * sum(size.values())
 
 
+def total(bins):
+    return sum(packing.cost(c) for c in bins)
+
+
+def cheapest(sizes, lengths):
+    """Least cost of any way to share the pieces out over bins: all set partitions."""
+    best = [float("inf")]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], total(min(c for c in lengths if c >= b) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= lengths[-1]:
+                go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
 def test_pack_by_brute_force():
-    where, offset, lengths = packing.pack([5, 3, 8, 2, 2], (4, 8, 16), 1)
-    assert lengths == [16, 4] and where == [0, 0, 0, 1, 1] and offset == [8, 13, 0, 0, 2]
-    assert packing.pack([], (4,), 1) == ([], [], [])
-    assert packing.pack([3], (4, 8), 1) == ([0], [0], [4])
+    rng, ratios = np.random.default_rng(0), []
+    for _ in range(60):
+        sizes = [int(x) for x in rng.integers(1, 4097, int(rng.integers(1, 8))) // rng.integers(1, 12)] or [1]
+        sizes = [max(1, x) for x in sizes]
+        where, offset, bins = packing.pack(sizes)
+        for b, length in enumerate(bins):
+            held = sorted((offset[i], sizes[i]) for i in range(len(sizes)) if where[i] == b)
+            assert [at for at, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))]
+            assert length == min(c for c in packing.LENGTHS if c >= sum(n for _, n in held))
+        ratios.append(total(bins) / cheapest(sizes, packing.LENGTHS))
+    assert min(ratios) >= 1 - 1e-9 and np.mean(ratios) < 1.05 and max(ratios) < 1.4
+    assert packing.pack([], (4,)) == ([], [], []) and packing.pack([3], (4, 8)) == ([0], [0], [4])
+
+
+def alone(sizes, length):
+    """Cost where every size class that fits opens one length."""
+    opened = [max(length, k) for k in packing.LENGTHS]
+    used = packing.place(sorted(sizes, reverse=True), opened, packing.LENGTHS)[2]
+    return total(min(k for k in packing.LENGTHS if k >= u) for u in used)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_pack_chooses_several_lengths_jointly(seed):
+    rng = np.random.default_rng(seed)
+    sizes = [int(x) for x in np.concatenate([rng.integers(1, 250, 300), rng.integers(260, 340, 700), rng.integers(1100, 1400, 200)])]
+    _, _, bins = packing.pack(sizes)
+    ones = [alone(sizes, c) for c in packing.LENGTHS]
+    assert total(bins) <= min(ones) and total(bins) < 0.95 * ones[-1]
+    assert sum(bins.count(c) >= 0.05 * len(bins) for c in packing.LENGTHS) >= 2
+    if seed < 2:  # no single length does as well
+        assert total(bins) < min(ones)
 
 
 def test_packing_edge_cases(spark):
@@ -123,24 +188,3 @@ def test_packing_edge_cases(spark):
     assert packing.packed(docs.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = table(spark, sf, "documents")
-    assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
-    seen = docs
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, seen, sf).cache()
-        if name != "best-fit packing":
-            assert out.columns == docs.columns
-            assert out.select("doc_id").distinct().join(seen.select("doc_id"), "doc_id", "left_anti").count() == 0
-            seen = out
-    assert sum(r.n_words for r in out.collect()) == sum(n_words(r.text) for r in seen.collect())
-
-
-def test_pipeline_stages_take_odd_rows(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "the and", None, None, None), (1, "the and", None, None, None)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score int")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, sf).count() >= 0
-        assert stage(spark, docs.limit(0), sf).count() == 0
