@@ -5,7 +5,7 @@ A document's set holds its distinct n-word shingles (lower-cased A-Z only). Sets
 1. Equal sets form one class; only a class's least doc_id goes on (aggregated with map-side combine). Texts are hashed here
    once; only those of candidates are hashed again.
 2. Candidates are lossless for any threshold. In the order of the hashes, linked sets share at least ``floor_of`` shingles of
-   their prefixes, which hold the shingles that may differ and as many more. On a shingle's list, sorted by set size, only
+   their prefixes, which hold the shingles that may differ and ``MORE[0]`` times as many more. On a shingle's list, sorted by set size, only
    neighbours whose sizes allow a link count. A set with too few prefix shingles that it shares with such neighbours has no
    partner and goes, which is what most documents with a common passage do; this is done twice. Shingles that a bounded sample
    shows on many sets are dealt by set, not by shingle, so that no list of a frequent passage meets in one task.
@@ -34,13 +34,15 @@ from lakewright.operators.components import connected_components
 from lakewright.storage import cut, shuffle_width
 
 #: Shingles that a block holds about, and those of the documents that are sought in one block together.
-BLOCK, SOUGHT = 50_000, 400_000
+BLOCK, SOUGHT = 16_000, 400_000
 #: Classes of the sample that shows frequent shingles, on how many of them a shingle is frequent, most such shingles.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 20, 200_000
 #: Documents of the largest component, and of each other one, that meet first.
 PIVOTS, ASKING = 64, 4
 #: Candidate documents up to which their ids are broadcast (8 bytes each); classes that a task remembers.
 FEW, REMEMBERED = 500_000, 1_000_000
+#: Shingles of a prefix beyond those that may differ, as a multiple of these: to find candidates, and to group them.
+MORE = 1, 3
 #: DivideSkip's weight of a long list's binary search against heap steps.
 MU = 0.0085
 
@@ -159,23 +161,23 @@ def _check(num: int, den: int) -> None:
         raise ValueError(f"the least Jaccard {num}/{den} is not in (0, 1]")
 
 
-def _more(size: int, num: int, den: int) -> int:
+def _more(size: int, num: int, den: int, times: int) -> int:
     """How many shingles a prefix holds beyond those that may differ; grows with the size."""
-    return max(1, min(-(-size * num // den), size * (den - num) // den))
+    return max(1, min(-(-size * num // den), times * size * (den - num) // den))
 
 
-def prefix_length(size: int, num: int, den: int) -> int:
+def prefix_length(size: int, num: int, den: int, times: int = MORE[0]) -> int:
     """Shingles of a set's prefix, in the order of the hashes; 0 if only an equal set can be linked."""
     least = -(-size * num // den)  # least overlap with any partner
     if not size or least == size and size * den // num == size:
         return 0
-    return size - least + _more(size, num, den)
+    return size - least + _more(size, num, den, times)
 
 
-def floor_of(size: Column, num: int, den: int) -> Column:
+def floor_of(size: Column, num: int, den: int, times: int = MORE[0]) -> Column:
     """Least number of prefix shingles that a set shares with any partner: its smallest partner's ``_more``."""
     small = F.ceil(size * num / den)
-    return F.greatest(F.lit(1), F.least(F.ceil(small * num / den), F.floor(small * (den - num) / den)))
+    return F.greatest(F.lit(1), F.least(F.ceil(small * num / den), F.floor(small * times * (den - num) / den)))
 
 
 def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -282,18 +284,19 @@ def _marked(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 def candidate_groups(sets: DataFrame, frequent: DataFrame, num: int, den: int) -> DataFrame:
     """(id, component): candidates in groups that no link leaves.
 
-    The candidates' whole sets are ordered by how many of them hold a shingle, the rarest first. Linked sets share a shingle of
-    their prefixes in that order too, where a common passage comes last, so it ties only sets that hold little else.
+    Longer prefixes, whose shingles are ordered by how many candidates hold them, the rarest first. A set with c shingles that
+    others hold, of which it shares m or more with any partner, shares one of the rarest c - m + 1 with it. A common passage
+    comes last there, so it ties only sets that hold little else.
     """
-    rows = _marked(sets.select("id", "n", F.explode("s").alias("sig")), frequent)
-    counts = rows.where(~F.col("hot")).groupBy("sig").agg(F.count("*").alias("f")).where("f > 1")
-    # frequent shingles are the last in the order by their mark; they are dealt by set, as they need no count
-    dealt = rows.withColumn("key", F.when(F.col("hot"), F.xxhash64("sig", "id")).otherwise(F.col("sig")))
-    told = dealt.join(cut(counts.withColumnRenamed("sig", "key"), "counts"), "key", "left")
-    rank = F.dense_rank().over(Window.partitionBy("id").orderBy("hot", F.coalesce("f", F.lit(1)), "sig"))
-    differ = F.col("n") - F.ceil(F.col("n") * num / den)
-    kept = told.withColumn("r", rank).where((F.col("r") <= differ + 1) & (F.col("hot") | F.col("f").isNotNull()))
-    left = _beside(kept.select("sig", "id", "n", "hot").distinct(), num, den).where("shared")
+    rows = sets.select("id", "n", F.explode("wide").alias("sig"))
+    by = Window.partitionBy("sig", F.when(F.col("hot"), F.col("id")).otherwise(F.lit(0)))
+    held = _marked(rows, frequent).withColumn("f", F.count("*").over(by)).where((F.col("f") > 1) | F.col("hot"))
+    inside = Window.partitionBy("id")
+    ordered = inside.orderBy("hot", "f", "sig")
+    held = held.withColumn("new", F.coalesce(F.lag("sig").over(ordered) != F.col("sig"), F.lit(True)).cast("int"))
+    held = held.withColumn("r", F.dense_rank().over(ordered)).withColumn("c", F.sum("new").over(inside))
+    kept = held.where((F.col("new") == 1) & (F.col("r") <= F.col("c") - floor_of(F.col("n"), num, den, MORE[1]) + 1))
+    left = _beside(kept.select("sig", "id", "n", "hot"), num, den).where("shared")
     # along a list each set is tied to the one before it; a frequent shingle ties its sets by its own name
     edges = left.select(F.col("id").alias("src"), F.when(F.col("hot"), F.col("sig")).otherwise(F.col("before")).alias("dst"))
     return connected_components(edges.where("dst is not null").distinct()).withColumnRenamed("node", "id")
@@ -320,18 +323,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 made = [shingle_set(t, n) for t in part["text"]]
                 out = pd.DataFrame({"doc_id": part["doc_id"], "id": part["id"], "n": [len(s) for s in made]})
                 out["s"] = [s.view(np.int64) for s in made]
+                out["wide"] = [s[: prefix_length(len(s), num, den, MORE[1])].view(np.int64) for s in made]
                 # of rows that share a doc_id each stands for its own class
                 yield out[[key(s, 77) == i for s, i in zip(made, part["id"], strict=True)]]
 
-    sets = cut(texts.mapInPandas(to_sets, "doc_id long, id long, n long, s array<long>"), "sets")
+    sets = cut(texts.mapInPandas(to_sets, "doc_id long, id long, n long, s array<long>, wide array<long>"), "sets")
     groups = candidate_groups(sets, frequent, num, den)
     members = cut(sets.select("doc_id", "id", "n").distinct().join(groups, "id"), "members")
     load = members.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("k")).where("k > 1")
     members = members.join(load, "component").withColumn("chunks", F.ceil(F.col("load") / BLOCK).cast("int"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     members = cut(members.select("doc_id", "id", "n", "component", "chunks", chunk.alias("chunk")), "members")
-    tasks = 2 * int((members.agg(F.sum("n")).first()[0] or 0) // BLOCK) + 1
-    sets = sets.drop("n").join(_few(members), ["doc_id", "id"])
+    tasks = int((members.agg(F.sum("n")).first()[0] or 0) // (4 * BLOCK)) + 1
+    sets = sets.select("doc_id", "id", "s").join(_few(members), ["doc_id", "id"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc_id", "id"]).sort_values(["doc_id", "id"]).reset_index(drop=True)
@@ -415,4 +419,4 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den
     held = known.join(sought.select("component", "part").distinct(), "component")
     asked = sought.select(*at, "label", "part", every)
     tasks = asked.select("component", "part", "chunk").distinct().count()
-    return links.union(met(asked, held.select(*at, "label", "part", "chunk"), tasks))
+    return links.union(met(asked, held.select(*at, "label", "part", "chunk"), tasks // 4))
