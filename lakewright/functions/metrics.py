@@ -8,16 +8,24 @@ from lakewright.functions.text import metric_name
 
 # fixed values: metric names by direction, and the prefixes and suffixes that the rule looks at
 HIGHER = (
-    "accuracy acc acc_norm accuracy_norm f1 f1_macro f1_micro f1_weighted precision recall exact_match em matthews_correlation mcc kappa cohen_kappa "
-    "balanced_accuracy top_k_accuracy auc roc_auc pr_auc average_precision ap map mrr ndcg dcg hit_rate hits success_rate pass pass_rate bleu sacrebleu chrf "
-    "chrf++ rouge rouge1 rouge2 rougel rougelsum meteor bertscore bleurt comet ter_score gleu sari cider spice pearson spearman kendall cosine_similarity "
-    "similarity v_measure ari nmi silhouette purity main_score iou miou dice psnr ssim map50 map75"
-).split()
+    "accuracy", "acc", "acc_norm", "accuracy_norm", "f1", "f1_macro", "f1_micro", "f1_weighted", "precision",
+    "recall", "exact_match", "em", "matthews_correlation", "mcc", "kappa", "cohen_kappa", "balanced_accuracy",
+    "top_k_accuracy", "auc", "roc_auc", "pr_auc", "average_precision", "ap", "map", "mrr", "ndcg", "dcg", "hit_rate",
+    "hits", "success_rate", "pass", "pass_rate", "bleu", "sacrebleu", "chrf", "chrf++", "rouge", "rouge1", "rouge2",
+    "rougel", "rougelsum", "meteor", "bertscore", "bleurt", "comet", "ter_score", "gleu", "sari", "cider", "spice",
+    "pearson", "spearman", "kendall", "cosine_similarity", "similarity", "v_measure", "ari", "nmi", "silhouette",
+    "purity", "main_score", "iou", "miou", "dice", "psnr", "ssim", "map50", "map75",
+)
 LOWER = (
-    "wer cer per ter mer wil edit_distance levenshtein loss eval_loss train_loss validation_loss perplexity ppl nll cross_entropy mae mse rmse mape smape msle "
-    "error error_rate err eer fid kid lpips brier word_error_rate character_error_rate char_error_rate"
-).split()
-REWARD = "mean_reward reward episode_reward episodic_reward return mean_return avg_reward average_reward score_reward".split()
+    "wer", "cer", "per", "ter", "mer", "wil", "edit_distance", "levenshtein", "loss", "eval_loss", "train_loss",
+    "validation_loss", "perplexity", "ppl", "nll", "cross_entropy", "mae", "mse", "rmse", "mape", "smape", "msle",
+    "error", "error_rate", "err", "eer", "fid", "kid", "lpips", "brier", "word_error_rate", "character_error_rate",
+    "char_error_rate",
+)
+REWARD = (
+    "mean_reward", "reward", "episode_reward", "episodic_reward", "return", "mean_return", "avg_reward",
+    "average_reward", "score_reward",
+)
 PREFIXES = ("cosine_", "cos_sim_", "euclidean_", "manhattan_", "dot_", "max_", "l2_", "ip_")
 DIAGNOSTIC = "^naucs?_"
 
@@ -41,9 +49,9 @@ def direction(raw: Column) -> Column:
     )
 
 
-def known(direction: Column) -> Column:
-    """Whether a direction makes a query eligible."""
-    return direction.isin("higher", "lower")
+def known(direction: Column, merged: bool = False) -> Column:
+    """Whether a direction makes a query eligible; merged sources also have curated ones."""
+    return direction.isin("higher", "lower", *(("curated",) if merged else ()))
 
 
 def orient(weight: Column, direction: Column) -> Column:

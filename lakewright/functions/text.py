@@ -50,10 +50,16 @@ def name_tokens(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct character trigrams of the lower-cased name; of a shorter name none."""
-    n = F.length(c)
-    at = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.lower(c).substr(i, F.lit(3))))
+    """Distinct trigrams of the lower-cased name, runs of other signs as one blank; a shorter name gives itself."""
+    name = F.trim(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "))
+    at = F.sequence(F.lit(1), F.length(name) - 2)
+    made = F.array_distinct(F.transform(at, lambda i: name.substr(i, F.lit(3))))
+    return F.when(F.length(name) >= 3, made).otherwise(F.array(name))
+
+
+def words(c: Column) -> Column:
+    """Runs of a-z and 0-9 in the lower-cased text, one sign or more."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
 
 
 def tie_key(c: Column) -> Column:

@@ -7,19 +7,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lakewright.functions.metrics import direction, known, orient
 
 NODE = ("dataset", "task")
-# fixed values: dataset names that name no dataset
-PLACEHOLDERS = "unknown custom none null n/a na private internal test dataset my_dataset mydataset local own self in-house in_house proprietary confidential".split()
+# fixed values: dataset names that name no dataset; those that merged sources add; reinforcement learning's names
+PLACEHOLDERS = (
+    "unknown", "custom", "none", "null", "n/a", "na", "private", "internal",
+    "test", "dataset", "my_dataset", "mydataset", "local", "own", "self",
+    "in-house", "in_house", "proprietary", "confidential",
+)
+MERGED_PLACEHOLDERS = ("##", "#", "-", "")
+RL_TASKS = ("rl", "deep-rl", "deep_rl")
 
 
 def is_rl(task: Column) -> Column:
     """Tasks of reinforcement learning, by prefix or name."""
-    t = F.lower(F.trim(task))
-    return t.startswith("reinforc") | t.isin("rl", "robotics")
+    t = F.lower(F.trim(F.coalesce(task, F.lit(""))))
+    return t.startswith("reinforc") | t.isin(*RL_TASKS)
 
 
-def is_placeholder(dataset: Column) -> Column:
-    """Names that every author gives to other data."""
-    return F.lower(F.trim(dataset)).isin(*PLACEHOLDERS)
+def is_placeholder(dataset: Column, merged: bool = False) -> Column:
+    """Names that every author gives to other data; in merged sources also bare marks."""
+    name = F.lower(F.trim(dataset))
+    return name.isin(*PLACEHOLDERS, *(MERGED_PLACEHOLDERS if merged else ()))
 
 
 def dedupe_median(obs: DataFrame) -> DataFrame:
@@ -55,11 +62,12 @@ def primary_edges(w: DataFrame) -> DataFrame:
     return w.join(primary_metric(w).select(*NODE, "metric"), [*NODE, "metric"], "left_semi")
 
 
-def nodes(edges: DataFrame, min_models: int = 3) -> DataFrame:
-    """Each node's models, flags and eligibility as a query."""
+def nodes(edges: DataFrame, min_models: int = 3, merged: bool = False) -> DataFrame:
+    """Each node's models, flags and eligibility as a query; merged nodes also accept a curated direction."""
     n = edges.groupBy(*NODE).agg(F.countDistinct("model").alias("n_models"), F.min("direction").alias("direction"))
-    ok = known(F.col("direction")) & ~is_rl(F.col("task").cast("string")) & ~is_placeholder(F.col("dataset").cast("string")) & (F.col("n_models") >= min_models)
-    return n.withColumn("gold_eligible", ok)
+    named = ~is_placeholder(F.col("dataset").cast("string"), merged)
+    ok = known(F.col("direction"), merged) & ~is_rl(F.col("task").cast("string")) & named
+    return n.withColumn("gold_eligible", ok & (F.col("n_models") >= min_models))
 
 
 def best_models(edges: DataFrame) -> DataFrame:
@@ -79,8 +87,10 @@ def stratified_cap(edges: DataFrame, cap: int) -> DataFrame:
     """At most ``cap`` edges a node: the weight-sorted node in ``cap`` even bins, one edge of each bin by a hash of the model."""
     by = Window.partitionBy(*NODE)
     binned = edges.withColumn("_bin", F.ntile(cap).over(by.orderBy("weight", "model")))
-    pick = Window.partitionBy(*NODE, "_bin").orderBy(F.md5(F.col("model").cast("string")), "model")
-    return binned.withColumn("_k", F.row_number().over(pick)).where("_k = 1").drop("_bin", "_k")
+    pick = F.struct(F.md5(F.col("model").cast("string")), "model")
+    rest = [c for c in edges.columns if c not in NODE]
+    one = binned.groupBy(*NODE, "_bin").agg(F.min_by(F.struct(*rest), pick).alias("_e"))
+    return one.select(*NODE, "_e.*").select(*edges.columns)
 
 
 def merge_sources(obs: DataFrame, priority: Column) -> DataFrame:
@@ -94,6 +104,34 @@ def merge_sources(obs: DataFrame, priority: Column) -> DataFrame:
     return per.withColumn("source_rank", F.row_number().over(order))
 
 
+def fold_metrics(ded: DataFrame) -> DataFrame:
+    """One row for each (node, model): median weight, the first metric and its direction, records of all metrics."""
+    pick = F.min(F.struct("metric", "direction"))
+    g = ded.groupBy(*NODE, "model").agg(F.median("weight").alias("weight"), pick.alias("m"), F.sum("n_records").alias("n_records"))
+    return g.select(*NODE, "model", "weight", "m.metric", "m.direction", "n_records")
+
+
+def with_counts(edges: DataFrame) -> DataFrame:
+    """Edges with how many models their node has: a left join, as every edge stays."""
+    n = edges.groupBy(*NODE).agg(F.countDistinct("model").alias("n_models"))
+    return edges.join(n, list(NODE), "left")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A left join that fails where a key repeats on either side: checked by counts before."""
+    for side, df in (("left", left), ("right", right)):
+        if df.groupBy(*on).agg(F.count("*").alias("k")).where("k > 1").take(1):
+            raise ValueError(f"the join is not one to one: keys repeat on the {side}")
+    return left.join(right, on, "left")
+
+
+def descriptions(rows: DataFrame, order: str, limit: int = 2000) -> DataFrame:
+    """(dataset, description): the first text that is not blank, by ``order``, stripped and cut to ``limit`` characters."""
+    kept = rows.where(F.length(F.trim("description")) > 0)
+    text = F.min_by(F.substring(F.trim("description"), 1, limit), F.col(order)).alias("description")
+    return kept.groupBy("dataset").agg(text)
+
+
 def gold_sources(merged: DataFrame) -> DataFrame:
     """Each node's models, sources and its source of highest priority."""
     return merged.where("source_rank = 1").groupBy(*NODE).agg(F.countDistinct("model").alias("n_models"), F.countDistinct("source").alias("n_sources"), F.min_by("source", F.struct("priority", "source")).alias("gold_source"))

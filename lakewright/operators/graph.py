@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakewright.functions.text import normal_id
 
@@ -47,45 +47,105 @@ def symmetric_top(edges: DataFrame, k: int = 10) -> DataFrame:
     return both.withColumn("rank", r).where(F.col("rank") <= k)
 
 
-def closure(seeds: DataFrame, edges: DataFrame, hops: int, fan_out: int | None = None) -> DataFrame:
-    """(node, hop): all nodes within ``hops`` of the seeds, with the first hop; fan-out by a hash order of the edges."""
+def closure(
+    seeds: DataFrame, edges: DataFrame, hops: int, fan_out: int | None = None, order: Column | None = None
+) -> DataFrame:
+    """(seed, node, hop): all nodes within ``hops`` of each seed, with the first hop; fan-out by a hash order of the edges.
+
+    ``seeds``: (seed, node), where the closures begin.
+    """
+    edges = edges.select("src", "dst") if order is None else edges.select("src", "dst", order.alias("_o"))
     if fan_out is not None:
-        r = F.row_number().over(Window.partitionBy("src").orderBy(F.md5(F.concat_ws(":", "src", "dst")), "dst"))
+        hashed = F.md5(F.concat_ws(":", "src", "dst")) if order is None else F.col("_o")
+        r = F.row_number().over(Window.partitionBy("src").orderBy(hashed, "dst"))
         edges = edges.withColumn("_r", r).where(F.col("_r") <= fan_out)
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
+    seen = seeds.select("seed", "node").distinct().withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
-        near = seen.where(F.col("hop") == h - 1).join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(h).alias("hop"))
-        seen = seen.unionByName(near).groupBy("node").agg(F.min("hop").alias("hop"))
+        last = seen.where(F.col("hop") == h - 1)
+        near = last.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit(h).alias("hop"))
+        seen = seen.unionByName(near).groupBy("seed", "node").agg(F.min("hop").alias("hop"))
     return seen
 
 
+def pair_weights(edges: DataFrame, how: str) -> DataFrame:
+    """(src, dst, w): repeated pairs become one, by their largest or mean weight."""
+    agg = {"max": F.max, "mean": F.avg}[how]
+    return edges.groupBy("src", "dst").agg(agg("w").alias("w"))
+
+
 def neighbour_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """(src, pos, value): the weighted mean of the neighbours' vectors, by position."""
     at = vectors.select(F.col("item").alias("dst"), F.posexplode("v").alias("pos", "x"))
     return edges.join(at, "dst").groupBy("src", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
 
 
-def negatives(edges: DataFrame, low: float = 0.25) -> DataFrame:
-    """Known-low edges: those at or below the low quantile of their dataset's weights."""
-    q = edges.groupBy("dst").agg(F.percentile("w", F.lit(low)).alias("q"))
-    return edges.join(q, "dst").where("w <= q").drop("q")
+def known_low(edges: DataFrame, low: float = 0.3, least: int = 3, top: float = 0.1) -> DataFrame:
+    """(src, dst): weights at or below the low quantile of their dataset, of datasets with ``least`` edges or more.
+
+    Positives, the top fraction of the dataset (one at least, halves to even), are left out.
+    """
+    q = edges.groupBy("dst").agg(F.percentile("w", F.lit(low)).alias("q"), F.count("*").alias("n")).where(F.col("n") >= least)
+    below = edges.join(q, "dst").where("w <= q").select("src", "dst")
+    return below.join(positives(edges, top), ["src", "dst"], "left_anti")
+
+
+def positives(edges: DataFrame, top: float = 0.1) -> DataFrame:
+    """(src, dst): the top fraction of each dataset's models, one at least; ties to the smaller model."""
+    by = Window.partitionBy("dst")
+    r = edges.withColumn("k", F.row_number().over(by.orderBy(F.desc("w"), "src"))).withColumn("n", F.count("*").over(by))
+    return r.where(F.col("k") <= F.greatest(F.lit(1.0), F.bround(top * F.col("n"), 0))).select("src", "dst")
+
 
+def incompatible(edges: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(dst, n): how many observed models have no edge of the dataset's task; datasets of task 0 (other) have none.
 
-def sampling_mass(edges: DataFrame, n0: float = 1.0, alpha: float = 0.75, gamma: float = 0.1) -> DataFrame:
-    """(src, degree, q): mass by (degree + n0) ^ alpha, mixed with the uniform."""
-    d = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn("m", F.pow(F.col("degree") + n0, F.lit(alpha)))
-    t = d.agg(F.sum("m").alias("total"), F.count("*").alias("n"))
-    return d.join(t).select("src", "degree", ((1 - gamma) * F.col("m") / F.col("total") + gamma / F.col("n")).alias("q"))
+    ``tasks``: (dst, task). Counted by the models that do have one, so no pair of model and dataset is made.
+    """
+    held = edges.join(tasks, "dst").select("src", "task").distinct()
+    have = held.groupBy("task").agg(F.count("*").alias("have"))
+    n = edges.agg(F.countDistinct("src").alias("models"))
+    used = edges.select("dst").distinct().join(tasks, "dst").where("task <> 0").join(have, "task").crossJoin(F.broadcast(n))
+    return used.select("dst", (F.col("models") - F.col("have")).alias("n"))
+
+
+def sampling_mass(
+    edges: DataFrame, models: DataFrame, n0: float = 1.0, alpha: float = 0.75, gamma: float = 0.0
+) -> DataFrame:
+    """(src, degree, q) of every model: mass by (degree + n0) ^ alpha, mixed with the uniform over models that have an edge.
+
+    ``models``: (src); those without an edge carry mass too, but for the mixed part.
+    """
+    d = models.select("src").join(edges.groupBy("src").agg(F.count("*").alias("degree")), "src", "left")
+    d = d.withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("m", F.pow(F.col("degree") + n0, F.lit(alpha)))
+    t = d.agg(F.sum("m").alias("total"), F.count_if(F.col("degree") > 0).alias("labelled"))
+    own = F.when(F.col("degree") > 0, 1 / F.col("labelled")).otherwise(F.lit(0.0))
+    q = (1 - gamma) * F.col("m") / F.col("total") + gamma * own
+    return d.crossJoin(F.broadcast(t)).select("src", "degree", q.alias("q"))  # one row
+
+
+# fixed values: the marks at the end of a repository's name, in the order in which they are taken off
+NAME_MARKS = (
+    r"[-_.]?(q[2-8]_[0-9a-z_]+)$",
+    r"[-_.]?(iq[0-9]+_[0-9a-z]+)$",
+    r"[-_.]?(gguf|ggml|awq|gptq|exl2|mlx|bnb|nf4|fp16|fp8|bf16)$",
+    r"[-_.]?(int4|int8|4bit|8bit|4-bit|8-bit)$",
+    r"[-_.]?(q4|q5|q6|q8)$",
+    r"[-_.]?(lora|qlora|adapter|peft)$",
+)
 
 
 def lineage_by_name(names: DataFrame) -> DataFrame:
-    """(name, base) where stripping format and quantisation marks, up to four rounds, gives another known name."""
-    # fixed values: the marks at the end of a repository's name
-    marks = r"(?i)[-_.]?(q[2-8]_[0-9a-z_]+|iq[0-9]+_[0-9a-z]+|gguf|ggml|awq|gptq|exl2|mlx|bnb|nf4|fp16|fp8|bf16|int4|int8|4bit|8bit|4-bit|8-bit|q4|q5|q6|q8|lora|qlora|adapter|peft)$"
-    head = F.regexp_extract("name", "^(.*/)?([^/]*)$", 1)
-    last = F.regexp_extract("name", "^(.*/)?([^/]*)$", 2)
+    """(name, base) where taking off marks, all in turn and up to four times, gives another known name."""
+    head, last = (F.regexp_extract("name", "^(.*/)?([^/]*)$", k) for k in (1, 2))
+
+    def without(name: Column, mark: str) -> Column:
+        """The name without the mark if three signs are left; a one-element array binds the name, so expressions don't multiply."""
+        left = lambda x: F.regexp_replace(x, f"(?i){mark}", "")
+        return F.get(F.transform(F.array(name), lambda x: F.when(F.length(left(x)) >= 3, left(x)).otherwise(x)), F.lit(0))
+
     for _ in range(4):
-        cut = F.regexp_replace(last, marks, "")
-        last = F.when(F.length(cut) >= 3, cut).otherwise(last)
-    found = names.select("name", F.concat(head, last).alias("base")).where("name <> base")
-    return found.join(names.select(F.col("name").alias("base")), "base", "left_semi").select("name", "base")
+        for mark in NAME_MARKS:
+            last = without(last, mark)
+    last = names.select("name", head.alias("head"), last.alias("last"))
+    found = last.select("name", F.concat("head", "last").alias("base")).where("name <> base")
+    return found.join(names.select(F.col("name").alias("base")).distinct(), "base", "left_semi").select("name", "base")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lakewright.operators.ordering import running
 
 #: Pseudo-observations of the shrinkage and the value they have.
 SHRINK, CENTRE = 5, 0.5
@@ -33,13 +35,12 @@ def split_roots(sizes: DataFrame, seed: int, test: float = 0.2, val: float = 0.1
     """(root, n, side): roots in a seeded hash order fill the test side, then validation, then training.
 
     A root goes to test while those before it hold less than ``test`` of the edges; of the rest to validation likewise.
-    ``sizes``: one row a root.
+    ``sizes``: one row a root. Running sums go by ranges of the order, so no task meets all roots.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("root").cast("string")))
-    up = Window.orderBy("_o", "root").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn("_o", order)
-    total = F.sum("n").over(Window.partitionBy())
-    one = ranked.withColumn("_total", total).withColumn("_test", F.coalesce(F.sum("n").over(up), F.lit(0)) < test * F.col("_total"))
-    rest = Window.partitionBy("_test").orderBy("_o", "root").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(rest), F.lit(0))
-    return one.withColumn("side", F.when(F.col("_test"), "test").when(before < val * F.col("_total"), "val").otherwise("train")).select("root", "n", "side")
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("root").cast("string"))), F.col("root")]
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    one = running(sizes, order, {"before": "n"})
+    # the test side is a prefix of the order, so what lies before a later root is the test side and the rest before it
+    tests = one.where(F.col("before") < test * total).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("held"))
+    side = F.when(F.col("before") < test * total, "test").when(F.col("before") - F.col("held") < val * total, "val")
+    return one.crossJoin(F.broadcast(tests)).select("root", "n", side.otherwise("train").alias("side"))

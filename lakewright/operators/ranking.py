@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lakewright.operators.ordering import running
+
 #: How far below the best a label counts as near the best.
 GAP = 0.01
 
@@ -48,12 +54,35 @@ def ndcg(scored: DataFrame, k: int = 10) -> DataFrame:
     return d.groupBy("query").agg((dcg("r") / dcg("i")).alias("ndcg"))
 
 
-def kendall(scored: DataFrame) -> DataFrame:
-    """(query, tau): tie-corrected rank correlation of score and value, over the query's own pairs."""
-    a = scored.select("query", F.col("item").alias("i"), F.col("score").alias("s"), F.col("value").alias("v"))
-    b = scored.select("query", F.col("item").alias("j"), F.col("score").alias("t"), F.col("value").alias("w"))
-    p = a.join(b, "query").where("i < j").select("query", F.signum(F.col("s") - F.col("t")).alias("x"), F.signum(F.col("v") - F.col("w")).alias("y"))
-    return p.groupBy("query").agg((F.sum(F.col("x") * F.col("y")) / F.nullif(F.sqrt(F.sum(F.abs("x")) * F.sum(F.abs("y"))), F.lit(0.0))).alias("tau"))
+def kendall(scored: DataFrame, least: int = 2) -> DataFrame:
+    """(query, tau): tie-corrected rank correlation of score and value, for queries with ``least`` candidates or more.
+
+    Concordant pairs are counted by inversions inside one query's candidates (n log n), so no pair is made.
+    """
+
+    def tau(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in ("score", "value"))
+        n = len(x)
+        pairs = lambda codes: int((np.bincount(codes).astype(np.int64) * (np.bincount(codes) - 1) // 2).sum())
+        total, tx, ty = n * (n - 1) // 2, pairs(x), pairs(y)
+        both = pairs(np.unique(x.astype(np.int64) * (int(y.max()) + 1) + y, return_inverse=True)[1])
+        tree, less = [0] * (int(y.max()) + 2), 0  # how many earlier candidates have each value or less
+        order = np.lexsort((-y, x))  # equal scores are not counted: their values fall
+        for v in y[order].tolist():
+            k = v
+            while k > 0:
+                less += tree[k]
+                k -= k & -k
+            k = v + 1
+            while k < len(tree):
+                tree[k] += 1
+                k += k & -k
+        against = total - tx - ty + both - less
+        root = np.sqrt(float(total - tx) * float(total - ty))
+        return pd.DataFrame({"query": [key[0]], "tau": [(less - against) / root if root else None], "n": [n]})
+
+    made = scored.select("query", "score", "value").groupBy("query").applyInPandas(tau, "query long, tau double, n long")
+    return made.where(F.col("n") >= least).select("query", F.when(~F.isnan("tau"), F.col("tau")).alias("tau"))
 
 
 def spearman(scored: DataFrame) -> DataFrame:
@@ -81,14 +110,36 @@ def random_hits(n_pool: int, near: Column, k: int) -> Column:
     return 1 - miss
 
 
-def bootstrap(deltas: DataFrame, rounds: int = 200) -> DataFrame:
-    """(mean, low, high): paired bootstrap by Poisson weights from a hash of (round, query), combined map-side."""
-    u = F.pmod(F.xxhash64("query", "round"), F.lit(1 << 30)) / float(1 << 30)
-    # inverse of the Poisson(1) distribution, tail cut at 6
-    w = sum((u > c).cast("int") for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
-    many = deltas.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", w)
-    means = many.groupBy("round").agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+def bootstrap(deltas: DataFrame, rounds: int = 10_000, block: int = 250) -> DataFrame:
+    """(n_paired, mean_delta, ci_low, ci_high, prob_positive): paired bootstrap of (query, delta), n draws a round.
+
+    Queries are numbered by id; draw j of round r takes the one at a hash of (r, j). Rounds are dealt to tasks in blocks and
+    each task holds the deltas of one seed's queries, 8 bytes each. Without rows the bounds are null.
+    """
+    numbered = running(deltas.where("delta is not null"), [F.col("query")])
+    values = np.array([r.delta for r in numbered.select("row", "delta").orderBy("row").collect()])  # one number a query
+    spark = deltas.sparkSession
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first in pdf["id"]:
+                at = np.arange(first * block, min(rounds, (first + 1) * block), dtype=np.uint64)
+                means = []
+                for r in at:
+                    h = np.arange(len(values), dtype=np.uint64) + r * np.uint64(0x9E3779B97F4A7C15)
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    means.append(values[((h ^ (h >> np.uint64(32))) % np.uint64(max(len(values), 1))).astype(np.int64)].mean())
+                yield pd.DataFrame({"m": means})
+
+    made = spark.range(-(-rounds // block) if len(values) else 0).repartition(8).mapInPandas(draw, "m double")
+    bounds = made.agg(
+        F.percentile("m", F.lit(0.025)).alias("ci_low"),
+        F.percentile("m", F.lit(0.975)).alias("ci_high"),
+        F.avg((F.col("m") > 0).cast("int")).alias("prob_positive"),
+    )
+    mean = deltas.agg(F.count("delta").alias("n_paired"), F.avg("delta").alias("mean_delta"))
+    return mean.crossJoin(bounds)  # one row each
 
 
 def specificity(lists: DataFrame, n_items: int) -> DataFrame:

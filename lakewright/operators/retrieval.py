@@ -1,8 +1,14 @@
-"""Exact vector retrieval, fusion with priors, reranking and ranks."""
+"""Exact vector retrieval, fusion with priors, reranking and ranks.
+
+A stated query set meets all items in blocks: QUERIES queries at a time go to the tasks by value (their number bounds their size),
+each task keeps what it needs of its items, and what is shuffled is a few rows for each query and task. Scores are rounded
+to DIGITS decimals, so that equal vectors tie however their products were summed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,11 +16,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakewright.functions.text import tie_key
 from lakewright.functions.vector import dot
+from lakewright.operators.ordering import running
+from lakewright.storage import cut
+
+#: Queries a block, queries and items multiplied at once, decimals of a score.
+QUERIES, PART, DIGITS = 8192, 512, 9
+
+
+def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in parts of about QUERIES by a hash of their id."""
+    n = max(1, -(-queries.count() // QUERIES))
+    for b in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b)
 
 
 def scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query, item, score) of every pair of a stated query set and the items: the exact, native path."""
-    return queries.select("query", "q").join(items.select("item", "v")).select("query", "item", dot(F.col("q"), F.col("v")).alias("score"))
+    """(query, item, score) of every pair of a stated query set and the items: the native path, a broadcast a block."""
+    parts = [F.broadcast(b.select("query", "q")).join(items.select("item", "v")) for b in _blocks(queries)]
+    score = F.round(dot(F.col("q"), F.col("v")), DIGITS).alias("score")
+    return reduce(DataFrame.union, parts).select("query", "item", score)
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``pairs`` (query, item, ...) with their score: both vectors are joined by key, no other pair is made."""
+    told = pairs.join(queries.select("query", "q"), "query").join(items.select("item", "v"), "item")
+    return told.withColumn("score", F.round(dot(F.col("q"), F.col("v")), DIGITS)).select(*pairs.columns, "score")
 
 
 def top_k(scored: DataFrame, k: int, by: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:
@@ -23,53 +49,144 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, order: list[Co
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """The same as ``top_k(scores(...))``, by matrix products: queries go in blocks against batches of items.
+def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """The same as ``top_k(scores(...))``, by matrix products: one pass over the items a block of queries.
 
-    Every task keeps the k best of its batch, so what is shuffled is k rows for each query and batch.
+    A task keeps the k best of its items for each query of the block, so its memory doesn't grow with the items.
     """
-    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // block)))))
-    packed = blocks.groupBy("_b").agg(F.collect_list(F.struct("query", "q")).alias("qs"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, part in zip(pdf["qs"], pdf["items"], strict=True):
-                ids = np.array([x["item"] for x in part])
-                s = np.array([x["q"] for x in qs], float) @ np.array([x["v"] for x in part], float).T
-                for row, q in zip(s, qs, strict=True):
-                    first = np.lexsort((ids, -row))[:k]
-                    yield pd.DataFrame({"query": q["query"], "item": ids[first], "score": row[first]})
+    def of(block: DataFrame) -> DataFrame:
+        rows = block.select("query", "q").collect()  # QUERIES rows about
+        ids, q = np.array([r.query for r in rows], np.int64), np.array([r.q for r in rows], float)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+            for pdf in batches:
+                x, at = np.array(pdf["v"].tolist(), float), pdf["item"].to_numpy()
+                for lo in range(0, len(ids) if len(at) else 0, PART):
+                    s = np.round(q[lo : lo + PART] @ x.T, DIGITS)
+                    if skip_self:
+                        s = np.where(ids[lo : lo + PART, None] == at, -np.inf, s)
+                    for i, row in enumerate(s, lo):
+                        old, held = best[i]
+                        some = np.flatnonzero(row >= (old[-1] if len(old) == k else -np.inf))
+                        some = some[row[some] > -np.inf]
+                        all_s, all_i = np.concatenate([old, row[some]]), np.concatenate([held, at[some]])
+                        keep = np.lexsort((all_i, -all_s))[:k]
+                        best[i] = all_s[keep], all_i[keep]
+            for qid, (s, i) in zip(ids, best, strict=True):
+                if len(i):
+                    yield pd.DataFrame({"query": qid, "item": i, "score": s})
+
+        return items.select("item", "v").mapInPandas(run, "query long, item long, score double")
+
+    parts = [of(b) for b in _blocks(queries)]
+    return top_k(reduce(DataFrame.union, parts), k)
+
+
+def tie_keys(ids: np.ndarray) -> np.ndarray:
+    """The fixed permutation of ids of ``tie_key``, wrapped modulo 2^64."""
+    return ids.astype(np.uint64) * np.uint64(11400714819323198485) + np.uint64(15111065706836454659)
+
 
-    chunks = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(max(1, items.count() // 4096))).alias("_c")).agg(F.collect_list(F.struct("item", "v")).alias("items"))
-    partial = packed.join(chunks).select("qs", "items").mapInPandas(run, "query long, item long, score double")
-    return top_k(partial, k)
+def fuse_score(score: Column, prior: Column) -> Column:
+    """(score + 1) / 2 + prior in single precision."""
+    one, two = F.lit(1).cast("float"), F.lit(2).cast("float")
+    return ((score.cast("float") + one) / two).cast("float") + F.coalesce(prior, F.lit(0.0)).cast("float")
 
 
 def fuse(pool: DataFrame, prior: DataFrame, on: list[str], k: int = 10) -> DataFrame:
-    """The pool reranked by (score + 1) / 2 + prior in single precision, first k; ties by the fixed permutation of ids."""
-    joined = pool.join(prior.select(*on, "prior"), on, "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)).cast("float"))
-    fused = joined.withColumn("fused", ((F.col("score").cast("float") + F.lit(1).cast("float")) / F.lit(2).cast("float")).cast("float") + F.col("prior"))
+    """The pool reranked by ``fuse_score``, first k; ties by the fixed permutation of ids. Pairs without a prior have 0."""
+    fused = pool.join(prior.select(*on, "prior"), on, "left").withColumn("fused", fuse_score(F.col("score"), F.col("prior")))
     return top_k(fused.drop("rank"), k, order=[F.desc("fused"), tie_key(F.col("item"))])
 
 
+def gold_in_pool(reranked: DataFrame, pool_size: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query, in_pool, gold_rank): a gold item that the pool misses has the rank after the pool's last.
+
+    ``reranked``: the whole pool with rank; ``pool_size``: (query, k); ``gold``: (query, item).
+    """
+    found = gold.join(pool_size, "query").join(reranked.select("query", "item", "rank"), ["query", "item"], "left")
+    rank = F.coalesce(F.col("rank"), F.col("k") + 1).cast("long").alias("gold_rank")
+    return found.select("query", F.col("rank").isNotNull().alias("in_pool"), rank)
+
+
 def backfill(prior_lists: DataFrame, universe: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Lists of prior-ranked items filled up to k with items of zero prior in the order of the tie permutation.
 
-    Of the universe only the first k plus the longest list's items can be needed, so a small head of it is joined.
+    ``prior_lists``: each query's k best at most. Of the universe only the first 2 k items can be needed, so a small head is joined.
     """
     head = universe.orderBy(tie_key(F.col("item")), "item").limit(2 * k).select("item")
-    zero = queries.select("query").join(head).join(prior_lists.select("query", "item"), ["query", "item"], "left_anti").withColumn("prior", F.lit(0.0))
-    both = prior_lists.select("query", "item", "prior").unionByName(zero)
+    zero = queries.select("query").crossJoin(F.broadcast(head)).join(prior_lists.select("query", "item"), ["query", "item"], "left_anti")
+    both = prior_lists.select("query", "item", "prior").unionByName(zero.withColumn("prior", F.lit(0.0)))
     return top_k(both, k, order=[F.desc("prior"), tie_key(F.col("item"))])
 
 
-def ranks_of(scored: DataFrame, probes: DataFrame, tie_break: bool = False) -> DataFrame:
-    """(query, item, rank) of probe items among all scored items: 1 + those above, ties optimistic or by the permutation."""
-    p = scored.join(probes.select("query", "item"), ["query", "item"], "left_semi").select("query", F.col("item").alias("probe"), F.col("score").alias("at"))
-    above = F.col("score") > F.col("at")
-    if tie_break:
-        above = above | ((F.col("score") == F.col("at")) & (tie_key(F.col("item")) < tie_key(F.col("probe"))))
-    return scored.join(p, "query").groupBy("query", "probe").agg((F.count_if(above) + 1).alias("rank")).withColumnRenamed("probe", "item")
+def full_ranks(
+    queries: DataFrame, items: DataFrame, probes: DataFrame, prior: DataFrame | None = None, tie_break: bool = False
+) -> DataFrame:
+    """(query, item, rank) of probe items among all items: 1 + those above, ties optimistic or by the permutation.
+
+    With ``prior`` (task, item, prior) and a task for each query also fused_rank and prior_rank: the ranks by ``fuse_score``
+    and by the prior alone. Probes are scored by key first; then one pass over the items a block of queries counts.
+    """
+    at = pair_scores(probes.select("query", "item"), queries, items)
+    held, fusing = items.select("item", "v"), prior is not None
+    if prior is not None:
+        at = at.join(queries.select("query", "task"), "query").join(prior, ["task", "item"], "left")
+        maps = prior.groupBy("item").agg(F.collect_list(F.struct("task", "prior")).alias("p"))  # one entry a task
+        held = held.join(maps, "item", "left")
+    at = cut(at.withColumn("prior", F.coalesce("prior", F.lit(0.0)) if prior is not None else F.lit(0.0)), "probes")
+    kinds = ("rank",) if prior is None else ("rank", "fused_rank", "prior_rank")
+
+    def of(block: DataFrame) -> DataFrame:
+        rows = block.select("query", "q", *(["task"] if fusing else [])).collect()  # QUERIES rows about
+        spots = at.join(F.broadcast(block.select("query")), "query", "left_semi").collect()  # a few probes each
+        place = {r["query"]: i for i, r in enumerate(rows)}
+        q = np.array([r.q for r in rows], float)
+        tasks = np.array([r.task for r in rows]) if fusing else None
+        by: list[list] = [[] for _ in rows]
+        for r in spots:
+            by[place[r["query"]]].append(r)
+
+        def single(s: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return (s.astype(np.float32) + np.float32(1)) / np.float32(2) + p.astype(np.float32)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            above = [np.zeros((len(p), 3), np.int64) for p in by]
+            for pdf in batches:
+                x, ids = np.array(pdf["v"].tolist(), float), pdf["item"].to_numpy()
+                tie = tie_keys(ids)
+                mine: dict = {}
+                if fusing:
+                    for t in set(tasks.tolist()):
+                        mine[t] = np.zeros(len(ids))
+                    for j, entries in enumerate(pdf["p"]):
+                        for e in entries if entries is not None else ():
+                            if e["task"] in mine:
+                                mine[e["task"]][j] = e["prior"]
+                for lo in range(0, len(rows) if len(ids) else 0, PART):
+                    s = np.round(q[lo : lo + PART] @ x.T, DIGITS)
+                    for i, row in enumerate(s, lo):
+                        p = mine[tasks[i]] if fusing else None
+                        both = single(row, p) if fusing else None
+                        for n, r in enumerate(by[i]):
+                            pairs = [(row, r.score)]
+                            if fusing:
+                                own = single(np.array([r.score]), np.array([r.prior]))[0]
+                                pairs += [(both, own), (p, r.prior)]
+                            for kind, (all_, one) in enumerate(pairs):
+                                above[i][n, kind] += np.count_nonzero(all_ > one)
+                                if tie_break or kind:
+                                    above[i][n, kind] += np.count_nonzero((all_ == one) & (tie < tie_keys(np.array([r.item]))[0]))
+            out = [(r["query"], r["item"], *above[i][n].tolist()) for i, p in enumerate(by) for n, r in enumerate(p)]
+            yield pd.DataFrame(out, columns=["query", "item", "a", "b", "c"])
+
+        return held.mapInPandas(run, "query long, item long, a long, b long, c long")
+
+    counted = reduce(DataFrame.union, [of(b) for b in _blocks(queries)])
+    total = counted.groupBy("query", "item").agg(*[(F.sum(c) + 1).alias(k) for c, k in zip("abc", kinds, strict=False)])
+    return total.select("query", "item", *kinds)
 
 
 def csls(scored: DataFrame, k: int = 10) -> DataFrame:
@@ -77,3 +194,29 @@ def csls(scored: DataFrame, k: int = 10) -> DataFrame:
     near = top_k(scored.select("query", "item", "score"), k, by=["item"], order=[F.desc("score"), F.col("query").asc()])
     r = near.groupBy("item").agg(F.avg("score").alias("r"))
     return scored.join(r, "item").withColumn("score", 2 * F.col("score") - F.col("r")).drop("r")
+
+
+def static_ranks(values: DataFrame, score: str) -> DataFrame:
+    """(item, rank, ties): one global order by score, ties by the permutation, made once and looked up by every query."""
+    ordered = running(values, [F.col(score).desc(), tie_key(F.col("item"))], number="rank")
+    ties = values.groupBy(score).agg((F.count("*") - 1).alias("ties"))
+    return ordered.join(ties, score).select("item", F.col("rank").cast("long").alias("rank"), "ties")
+
+
+def fusion_sweep(pool: DataFrame, prior: DataFrame, gold: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """(beta, gold_10): share of queries whose gold is among the ten first by min-max score + beta x prior, for each weight.
+
+    ``pool`` and ``prior`` by (query, item); ``gold``: (query, item); a gold item that the pool misses is a miss.
+    """
+    span = pool.groupBy("query").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    unit = F.coalesce((F.col("score") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.5))
+    rows = pool.select("query", "item", "score").join(span, "query").join(prior, ["query", "item"], "left")
+    rows = rows.select("query", "item", unit.alias("s"), F.coalesce("prior", F.lit(0.0)).alias("p"))
+    every = rows.withColumn("beta", F.explode(F.array(*map(F.lit, weights))))
+    mixed = every.withColumn("fused", F.round(F.col("s") + F.col("beta") * F.col("p"), DIGITS))
+    first = top_k(mixed, 10, by=["beta", "query"], order=[F.desc("fused"), tie_key(F.col("item"))])
+    hits = first.join(gold, ["query", "item"]).groupBy("beta").agg(F.count("*").alias("hits"))
+    n = gold.agg(F.count("*").alias("n"))
+    betas = gold.sparkSession.createDataFrame([(float(w),) for w in weights], "beta double")
+    share = (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("gold_10")
+    return betas.join(hits, "beta", "left").crossJoin(F.broadcast(n)).select("beta", share)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from lakewright.operators import checks, evidence, prior
+from lakewright.operators import checks, evidence, prior, vocabulary as taxonomy_tables
 from lakewright.plans import inputs
 from lakewright.plans.inputs import with_ctes
 from lakewright.storage import table
@@ -36,13 +36,13 @@ def dedupe_median(spark, sf):
 
 @query(with_ctes("w") + " select model, dataset, task, metric, direction, round(weight, 6) as weight from w")
 def oriented_weights(spark, sf):
-    w = evidence.weighted(evidence.dedupe_median(inputs.observations(spark, sf)))
+    w = evidence.weighted(inputs.deduplicated(spark, sf))
     return w.select("model", "dataset", "task", "metric", "direction", r6("weight"))
 
 
 @query(with_ctes("prim") + " select * from prim")
 def primary_metric(spark, sf):
-    return evidence.primary_metric(evidence.weighted(evidence.dedupe_median(inputs.observations(spark, sf))))
+    return evidence.primary_metric(evidence.weighted(inputs.deduplicated(spark, sf)))
 
 
 @query(with_ctes("edges") + " select dataset, task, count(distinct model) as n_models, min(direction) as direction, min(direction) <> 'unknown' and count(distinct model) >= 3 as gold_eligible from edges group by all")
@@ -50,16 +50,18 @@ def node_eligibility(spark, sf):
     return evidence.nodes(inputs.edges(spark, sf))
 
 
-@query("""with m as (select n_name, o_orderpriority as pr, case n_name when 'N0' then 'Unknown' when 'N1' then ' custom ' else n_name end as dataset,
- case when o_orderpriority like '1%' then 'Reinforcement-Learning' when o_orderpriority like '2%' then 'rl' else 'ner' end as task from orders join customer on o_custkey = c_custkey
- join nation on c_nationkey = n_nationkey) select dataset, task, count(*) as n, bool_or(task in ('Reinforcement-Learning', 'rl')) as is_rl, bool_or(dataset in ('Unknown', ' custom ')) as is_placeholder from m group by all""")
+_TASKS, _SETS = ("Reinforcement-Learning", "rl", "deep-rl", "Deep_RL", "robotics", "ner"), ("Unknown", " custom ", "#", "", "real")
+
+
+@query(f"""with m as (select ({inputs.sql_list(_TASKS)})[o_orderkey % 6 + 1] as task, ({inputs.sql_list(_SETS)})[o_custkey % 5 + 1] as dataset from orders)
+ select dataset, task, count(*) as n, lower(task) like 'reinforc%' or lower(task) in ('rl', 'deep-rl', 'deep_rl') as is_rl,
+ lower(trim(dataset)) in ('unknown', 'custom') as is_placeholder, lower(trim(dataset)) in ('unknown', 'custom', '#', '##', '-', '') as is_merged_placeholder
+ from m group by all""")
 def task_and_dataset_flags(spark, sf):
-    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-    dataset = F.when(F.col("n_name") == "N0", "Unknown").when(F.col("n_name") == "N1", " custom ").otherwise(F.col("n_name"))
-    task = F.when(F.col("o_orderpriority").startswith("1"), "Reinforcement-Learning").when(F.col("o_orderpriority").startswith("2"), "rl").otherwise("ner")
-    g = j.groupBy(dataset.alias("dataset"), task.alias("task")).agg(F.count("*").alias("n"))
-    return g.withColumn("is_rl", evidence.is_rl(F.col("task"))).withColumn("is_placeholder", evidence.is_placeholder(F.col("dataset")))
+    task = inputs.pick(_TASKS, F.col("o_orderkey") % 6).alias("task")
+    g = table(spark, sf, "orders").groupBy(inputs.pick(_SETS, F.col("o_custkey") % 5).alias("dataset"), task).agg(F.count("*").alias("n"))
+    placed = g.withColumn("is_rl", evidence.is_rl(F.col("task"))).withColumn("is_placeholder", evidence.is_placeholder(F.col("dataset")))
+    return placed.withColumn("is_merged_placeholder", evidence.is_placeholder(F.col("dataset"), merged=True))
 
 
 _MERGED = """, per as (select dataset, task, source, model, median(value) as value, count(*) as n_records from obs group by all),
@@ -202,10 +204,13 @@ def anti_join_customers(spark, sf):
     return checks.missing(c, table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"]).agg(F.count("*").alias("unmatched"))
 
 
-@query("select (select count(*) from (select n_nationkey, n_name from nation where n_nationkey < 20 except all select n_nationkey, n_name from nation where n_nationkey > 2)) as only_left, (select count(*) from (select n_nationkey, n_name from nation where n_nationkey > 2 except all select n_nationkey, n_name from nation where n_nationkey < 20)) as only_right")
+@query("""with a as (select c_custkey, c_nationkey from customer), b as (select o_custkey, c_nationkey from orders join customer on o_custkey = c_custkey)
+ select (select count(*) from (from a except all from b)) as only_left, (select count(*) from (from b except all from a)) as only_right""")
 def table_differences(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return checks.differences(n.where("n_nationkey < 20"), n.where("n_nationkey > 2"))
+    """Customers against the customers of orders, with repeats."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey").select("c_custkey", "c_nationkey")
+    return checks.differences(c, o)
 
 
 @query("select count(*) as rows, sum(('0x' || substr(md5(concat_ws(chr(31), s_suppkey::varchar, s_name, s_nationkey::varchar)), 1, 15))::hugeint)::varchar as digest from supplier")
@@ -224,10 +229,9 @@ def source_recounts(spark, sf):
  select token, id from k union all select token, 7 from v where token = 'BUILDING'""")
 def append_only_vocabulary(spark, sf):
     """Ids of known tokens stay (BUILDING has 7 of a vocabulary up to 100); new tokens get the next ones."""
-    v = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("token")).agg(F.count("*").alias("n")).where("n >= 3").select("token")
     old = spark.createDataFrame([("BUILDING", 7), ("last", 100)], "token string, id long")
-    new = v.join(old, "token", "left_anti").join(old.agg(F.max("id").alias("top")))
-    return old.join(v, "token", "left_semi").unionByName(new.select("token", (F.col("top") + F.row_number().over(Window.orderBy("token"))).alias("id")))
+    v = taxonomy_tables.vocabulary(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("token")), old, 3)
+    return v.join(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("token")).distinct(), "token", "left_semi")
 
 
 @query("""with a as (select l_shipdate::date as d, l_extendedprice * (1 - l_discount) as x from lineitem) select year(d)::int as y, count(*) as n, round(sum(x), 2) as total, round(avg(x), 4) as mean from a group by all""")

@@ -21,13 +21,19 @@ def query(sql: str | None):
     return add
 
 
-_KNN = with_ctes("sc") + ", knn as (select query as src, item as dst, score as w from (select *, row_number() over (partition by query order by score desc, item) as r from sc where query <> item) where r <= 5)"
+_KNN = (
+    with_ctes("vec")
+    + """, ks as (select a.item as src, b.item as dst, round(list_dot_product(a.v, b.v), 9) as w from vec a, vec b where a.item <> b.item),
+ knn as materialized (select src, dst, w from (select *, row_number() over (partition by src order by w desc, dst) as r from ks) where r <= 5)"""
+)
 
 
 def _knn(spark, sf):
-    """Similarity edges of the stated query set: src, dst, w."""
-    s = retrieval.scores(inputs.queries(spark, sf), inputs.vectors(spark, sf)).where("query <> item")
-    return retrieval.top_k(s, 5).select(F.col("query").alias("src"), F.col("item").alias("dst"), F.col("score").alias("w"))
+    """Similarity edges of every vector: src, dst, w, by blocks of vectors against all."""
+    v = inputs.vectors(spark, sf)
+    every = v.select(F.col("item").alias("query"), F.col("v").alias("q"))
+    found = retrieval.blocked_top_k(every, v, 5, skip_self=True)
+    return cut(found.select(F.col("query").alias("src"), F.col("item").alias("dst"), F.col("score").alias("w")), "knn")
 
 
 def _supply(spark, sf):
@@ -73,40 +79,114 @@ def symmetric_top_k(spark, sf):
     return graph.symmetric_top(k, 3).select("src", "dst", "rank")
 
 
-@query("""with recursive n as (select o_custkey * 2 as a, o_orderkey * 2 + 1 as b from orders where o_orderkey % 5 = 0 union all select o_custkey * 2, (o_orderkey + 5) * 2 + 1 from orders where o_orderkey % 10 = 0),
- e as (select a, b from n union select b, a from n), r as (select a as node, a as c from e union select e.b, r.c from r join e on r.node = e.a where e.b > r.c) select count(*) as nodes, count(distinct c) as components from (select node, min(c) as c from r group by all)""")
+@query("""with o as (select o_orderkey * 2 + 1 as a, o_custkey * 2 as b from orders), n as (select (o_orderkey + 5) * 2 + 1 as a, o_custkey * 2 as b from orders),
+ e as (select a, b from o union select a, b from n), ends as (select a as node from e union select b from e),
+ orders_of as (select a, min(b) as c from e group by a), s0 as (select b, min(c) as c from e join orders_of using (a) group by b),
+ s1 as (select a, min(c) as c from e join s0 using (b) group by a), s2 as (select b, min(c) as c from e join s1 using (a) group by b),
+ s3 as (select a, min(c) as c from e join s2 using (b) group by a), s4 as (select b, min(c) as c from e join s3 using (a) group by b),
+ s5 as (select a, min(c) as c from e join s4 using (b) group by a), s6 as (select b, min(c) as c from e join s5 using (a) group by b),
+ s7 as (select a, min(c) as c from e join s6 using (b) group by a), s8 as (select b, min(c) as c from e join s7 using (a) group by b),
+ s9 as (select a, min(c) as c from e join s8 using (b) group by a), t0 as (select b, min(c) as c from e join s9 using (a) group by b),
+ t1 as (select a, min(c) as c from e join t0 using (b) group by a), t2 as (select b, min(c) as c from e join t1 using (a) group by b),
+ t3 as (select a, min(c) as c from e join t2 using (b) group by a), t4 as (select b, min(c) as c from e join t3 using (a) group by b)
+ select (select count(*) from ends) as nodes, (select count(distinct c) from t4) as components""")
 def component_count(spark, sf):
+    """Customers tied by orders that follow one another: nodes and components over all orders."""
     o = table(spark, sf, "orders")
-    one = o.where("o_orderkey % 5 = 0").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst"))
-    two = o.where("o_orderkey % 10 = 0").select((F.col("o_custkey") * 2).alias("src"), ((F.col("o_orderkey") + 5) * 2 + 1).alias("dst"))
-    return components.connected_components(one.union(two)).agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
-
-
-@query(_KNN + """, h1 as (select dst as node, 1 as hop from knn where src < 100), h2 as (select k.dst as node, 2 as hop from h1 join knn k on k.src = h1.node) select node, min(hop)::int as hop from (select distinct src as node, 0 as hop from knn where src < 100 union all select * from h1 union all select * from h2) group by all""")
+    customer = (F.col("o_custkey") * 2).alias("src")
+    one = o.select(customer, (F.col("o_orderkey") * 2 + 1).alias("dst"))
+    two = o.select(customer, ((F.col("o_orderkey") + 5) * 2 + 1).alias("dst"))
+    made = components.connected_components(one.union(two))
+    return made.agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
+
+
+@query(
+    _KNN
+    + """, h1 as (select src as seed, dst as node from knn), h2 as (select h1.seed, k.dst as node from h1 join knn k on k.src = h1.node)
+ select seed, node, min(hop)::int as hop from (select item as seed, item as node, 0 as hop from vec union all select seed, node, 1 from h1
+ union all select seed, node, 2 from h2) group by all"""
+)
 def hop_closure(spark, sf):
-    k = cut(_knn(spark, sf), "knn")
-    return graph.closure(k.where("src < 100").select(F.col("src").alias("node")), k, 2)
+    """All nodes within two hops of each vector."""
+    seeds = inputs.vectors(spark, sf).select(F.col("item").alias("seed"), F.col("item").alias("node"))
+    return graph.closure(seeds, _knn(spark, sf), 2)
 
 
-@query(_SUP + """, c as (select src, dst from (select *, row_number() over (partition by src order by md5(concat_ws(':', src::varchar, dst::varchar)), dst) as r from sup) where r <= 3) select distinct node, hop from (select 1::bigint as node, 0 as hop union all select dst, 1 from c where src = 1) group by all""")
+@query(
+    _SUP
+    + """, c as (select src, dst from (select *, row_number() over (partition by src order by md5(concat_ws(':', src::varchar, dst::varchar)), dst) as r
+ from sup) where r <= 3) select seed, node, min(hop)::int as hop from (select distinct src as seed, -src as node, 0 as hop from sup
+ union all select src, dst, 1 from c) group by all"""
+)
 def fan_out_sample(spark, sf):
-    seeds = spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.closure(seeds, _supply(spark, sf), 1, fan_out=3).groupBy("node").agg(F.min("hop").alias("hop"))
+    """Each supplier and three of its parts by a hash order; suppliers as negative nodes."""
+    e = _supply(spark, sf).withColumn("src", -F.col("src"))
+    seeds = e.select((-F.col("src")).alias("seed"), F.col("src").alias("node")).distinct()
+    hashed = F.md5(F.concat_ws(":", (-F.col("src")).cast("string"), F.col("dst").cast("string")))
+    return graph.closure(seeds, e, 1, fan_out=3, order=hashed)
+
+
+@query(
+    _KNN
+    + """, a as (select item, unnest(v) as x, generate_subscripts(v, 1) - 1 as pos from vec)
+ select src, pos::int as pos, round(sum(w * x) / sum(w), 6) as value from knn join a on dst = item group by all"""
+)
+def neighbour_mean(spark, sf):
+    """The weighted mean of each vector's neighbours, all dimensions."""
+    return graph.neighbour_mean(_knn(spark, sf), inputs.vectors(spark, sf)).select("src", "pos", r6("value"))
 
 
-@query(_KNN + """, a as (select item, unnest(v) as x, generate_subscripts(v, 1) - 1 as pos from vec) select src, pos::int as pos, round(sum(w * x) / sum(w), 6) as value from knn join a on dst = item where pos < 8 group by all""")
-def neighbour_mean(spark, sf):
-    return graph.neighbour_mean(_knn(spark, sf), inputs.vectors(spark, sf)).where("pos < 8").select("src", "pos", r6("value"))
+_POSITIVE = """, tf as (select *, row_number() over (partition by dst order by w desc, src) as k, count(*) over (partition by dst) as n from sup),
+ pos as (select src, dst from tf where k <= greatest(1, round_even(0.1 * n, 0)))"""
 
 
-@query(_SUP + " select src, count(*) as low from (select *, quantile_cont(w, 0.25) over (partition by dst) as q from sup) where w <= q group by all")
+@query(
+    _SUP
+    + _POSITIVE
+    + """, q as (select *, quantile_cont(w, 0.3) over (partition by dst) as q, count(*) over (partition by dst) as n from sup)
+ select src, count(*) as low from q where w <= q and n >= 3 and (src, dst) not in (select src, dst from pos) group by all"""
+)
 def known_low_negatives(spark, sf):
-    return graph.negatives(_supply(spark, sf)).groupBy("src").agg(F.count("*").alias("low"))
+    return graph.known_low(_supply(spark, sf)).groupBy("src").agg(F.count("*").alias("low"))
+
+
+@query(
+    _SUP
+    + """, t as (select p_partkey as dst, p_size % 4 as task from part), h as (select distinct src, task from sup join t using (dst)),
+ m as (select count(distinct src) as n from sup) select dst, n - (select count(*) from h where h.task = t.task) as n
+ from (select distinct dst from sup) join t using (dst), m where task <> 0"""
+)
+def incompatible_negatives(spark, sf):
+    """How many suppliers have no part of the part's class; class 0 is other."""
+    tasks = table(spark, sf, "part").select(F.col("p_partkey").alias("dst"), (F.col("p_size") % 4).alias("task"))
+    return graph.incompatible(_supply(spark, sf), tasks)
 
 
-@query(_SUP + ", d as (select src, count(*) as degree, pow(count(*) + 1, 0.75) as m from sup group by all) select src, degree, round(0.9 * m / sum(m) over () + 0.1 / count(*) over (), 9) as q from d")
+_MASS = (
+    _SUP
+    + """, m as (select c_custkey as src from customer), d as (select m.src, count(sup.src) as degree from m left join sup on sup.src = m.src group by all),
+ p as (select *, pow(degree + 1, 0.75) as w from d),
+ q as (select src, degree, 0.9 * w / sum(w) over () + case when degree > 0 then 0.1 / count(*) filter (degree > 0) over () else 0 end as q from p)"""
+)
+
+
+def _mass(spark, sf):
+    models = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"))
+    return graph.sampling_mass(_supply(spark, sf).join(models, "src", "left_semi"), models, gamma=0.1)
+
+
+@query(_MASS + " select src, degree, round(q, 9) as q from q")
 def sampling_mass(spark, sf):
-    return graph.sampling_mass(_supply(spark, sf)).select("src", "degree", F.round("q", 9).alias("q"))
+    """Customers as models: those without an edge have mass too, but no part of the uniform share."""
+    return _mass(spark, sf).select("src", "degree", F.round("q", 9).alias("q"))
+
+
+@query(_MASS + " select degree > 0 as labelled, count(*) as n, round(sum(q), 6) as mass, round(sum(1 - pow(1 - q, 1000)), 4) as touched from q group by all")
+def sampling_audit(spark, sf):
+    """Mass of labelled and other models, and how many a thousand draws are expected to touch."""
+    touched = F.sum(1 - F.pow(1 - F.col("q"), F.lit(1000)))
+    g = _mass(spark, sf).groupBy((F.col("degree") > 0).alias("labelled"))
+    return g.agg(F.count("*").alias("n"), F.round(F.sum("q"), 6).alias("mass"), F.round(touched, 4).alias("touched"))
 
 
 @query(_SUP + ", t as (select src, list(distinct p_size order by p_size) as sizes from sup join part on dst = p_partkey group by all) select src, len(sizes)::bigint as n, sizes[1] as first from t")

@@ -58,26 +58,34 @@ def name_buckets(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), text.md5_bucket(F.col("c_name")).alias("bucket"))
 
 
-@query(with_ctes("models") + " select id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as root, translate(name, '/-_', '   ') as clean, split_part(name, '/', 1) as owner from models")
+@query(
+    with_ctes("rec")
+    + r""" select id, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(name), '\(.*?\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ''), lower(name)) as root,
+ translate(name, '/-_', '   ') as clean, split_part(name, '/', 1) as owner,
+ array_to_string(list_filter(regexp_split_to_array(lower(name), '[/\-_.\s#]+'), lambda t: t <> ''), ' ') as tokens,
+ regexp_replace(lower(trim(coalesce(pipeline, ' A  b_c '))), '[\s_]+', '-', 'g') as task from rec"""
+)
 def name_forms(spark, sf):
-    return inputs.models(spark, sf).select("id", text.root_name(F.col("name")).alias("root"), text.clean_name(F.col("name")).alias("clean"), text.root_of(F.col("name")).alias("owner"))
-
-
-@query(with_ctes("models") + f""", t as (select id, name, list_filter(regexp_split_to_array(lower(split_part(name, '/', 2)), '[-_.\\s]+'), lambda x: x <> '' and x not in ({_quoted(taxonomy.STEM_OUT)}) and not regexp_full_match(x, '\\d+(\\.\\d+)?[bmk]')) as k from models)
- select id, case when len(k) = 0 then lower(split_part(name, '/', 2)) else array_to_string(k, '-') end as stem from t""")
-def repo_stems(spark, sf):
-    return inputs.models(spark, sf).select("id", taxonomy.repo_stem(F.col("name")).alias("stem"))
-
-
-def _marks(alias: str) -> str:
-    return " ".join(f"when regexp_matches(lower({alias}), '{'|'.join(v.split())}') then '{k}'" for k, v in taxonomy.QUANT_TAGS.items())
-
-
-@query(with_ctes("models") + f""", b as (select id, case {_marks('name')} else 'none' end as quant, try_cast(nullif(regexp_extract(lower(name), '(?:^|[^a-z0-9])(?:q|int|w|fp)(\\d{{1,2}})(?:[^0-9]|$)', 1), '') as int) as b from models)
- select id, quant, case when b between 1 and 32 then b end as bits from b""")
-def quantisation(spark, sf):
     n = F.col("name")
-    return inputs.models(spark, sf).select("id", taxonomy.quant_method(F.array().cast("array<string>"), n).alias("quant"), taxonomy.quant_bits(n).alias("bits"))
+    tokens = text.name_tokens(n)
+    return inputs.records(spark, sf).select(
+        "id",
+        text.root_name(n).alias("root"),
+        text.clean_name(n).alias("clean"),
+        text.root_of(n).alias("owner"),
+        F.array_join(F.slice(tokens, 2, F.size(tokens)), " ").alias("tokens"),
+        text.task_name(F.coalesce("pipeline", F.lit(" A  b_c "))).alias("task"),
+    )
+
+
+@query(
+    with_ctes("rec")
+    + rf""", t as (select id, split_part(name, '/', 2) as repo, list_filter(regexp_split_to_array(lower(split_part(name, '/', 2)), '[-_.\s]+'),
+ lambda x: x <> '' and x not in ({_quoted(taxonomy.STEM_OUT)}) and not regexp_full_match(x, '\d+(\.\d+)?[bmk]')) as k from rec)
+ select id, case when len(k) = 0 then lower(repo) else array_to_string(k, '-') end as stem from t"""
+)
+def repo_stems(spark, sf):
+    return inputs.records(spark, sf).select("id", taxonomy.repo_stem(F.col("name")).alias("stem"))
 
 
 _SCALE_SQL = "case " + " ".join(f"when s < {top} then '{name}'" for top, name in taxonomy.SCALES) + " else '>=90B' end"
@@ -88,26 +96,6 @@ def size_buckets(spark, sf):
     return table(spark, sf, "part").select(taxonomy.scale_bucket(F.col("p_size") * 2.3).alias("scale"), taxonomy.log_bucket(F.col("p_retailprice") * 1e4).alias("bucket")).groupBy("scale", "bucket").agg(F.count("*").alias("n"))
 
 
-@query("""with m as (select p_partkey % 6 as k, p_size % 2 = 0 as neutral from part), c as (select neutral, ([['en'], ['en', 'fr'], ['de'], ['de', 'fr'], ['multilingual'], []::varchar[]])[k + 1] as codes from m)
- select case when len(codes) > 1 or list_contains(codes, 'multilingual') then case when list_has_any(codes, ['en', 'eng', 'multilingual']) then 'multilingual-with-english' else 'non-english' end
- when len(codes) = 1 then case when codes[1] in ('en', 'eng') then 'english-primary' else 'non-english' end when neutral then 'language-neutral' else 'unknown' end as bucket, count(*) as n from c group by all""")
-def language_buckets(spark, sf):
-    some = [["en"], ["en", "fr"], ["de"], ["de", "fr"], ["multilingual"]]
-    codes = F.array(*[F.array(*map(F.lit, x)) for x in some], F.array().cast("array<string>"))
-    m = table(spark, sf, "part").select(F.element_at(codes, (F.col("p_partkey") % 6 + 1).cast("int")).alias("codes"), (F.col("p_size") % 2 == 0).alias("neutral"))
-    return m.groupBy(taxonomy.language_bucket(F.col("codes"), F.col("neutral")).alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query("""with m as (select case when p_partkey % 4 = 0 then 'gguf' else 'none' end as q, p_partkey % 7 = 0 as adapter, (['quantized', 'adapter', 'finetune', 'merge', null])[p_partkey % 5 + 1] as relation, case when p_size > 25 then 'b' end as base, p_size % 2 = 0 as same from part)
- select case when q <> 'none' then case when same then 'official-quantized' else 'quantized-conversion' end when adapter or relation = 'adapter' then 'adapter-lora' when relation = 'quantized' then case when same then 'official-quantized' else 'quantized-conversion' end
- when relation in ('finetune', 'merge') or base is not null then case when same then 'official-derivative' else 'community-finetune' end else 'original-base' end as source_type, count(*) as n from m group by all""")
-def source_types(spark, sf):
-    k = F.col("p_partkey")
-    rel = F.element_at(F.array(*map(F.lit, ("quantized", "adapter", "finetune", "merge")), F.lit(None).cast("string")), (k % 5 + 1).cast("int"))
-    kind = taxonomy.source_type(F.when(k % 4 == 0, "gguf").otherwise("none"), k % 7 == 0, rel, F.when(F.col("p_size") > 25, "b"), F.col("p_size") % 2 == 0)
-    return table(spark, sf, "part").groupBy(kind.alias("source_type")).agg(F.count("*").alias("n"))
-
-
 @query("""with m as (select case when p_partkey % 3 = 0 then 't' end as tag, p_partkey % 9 = 0 as res, case when p_partkey % 4 = 0 then p_size end as size, case when p_partkey % 5 = 0 then 'b' end as base from part)
  select case when tag is null and size is null then 'dropped' when res then 'labeled' when base is not null then 'lineage' else 'plain' end as layer, case when tag is not null then 'tag' when base is not null then 'base' else 'none' end as source, count(*) as n from m group by all""")
 def record_layers(spark, sf):
@@ -117,14 +105,6 @@ def record_layers(spark, sf):
     return table(spark, sf, "part").groupBy(layer.alias("layer"), taxonomy.first_known((tag, "tag"), (base, "base"))["source"].alias("source")).agg(F.count("*").alias("n"))
 
 
-@query("""with m as (select least(1, greatest(0, case when p_size > 10 then 0.25 else 0 end + case when p_retailprice > 1000 then 0.2 else 0 end + case when p_partkey % 3 = 0 then 0.15 else 0 end - case when p_partkey % 10 = 0 then 0.6 else 0 end)) as s,
- concat_ws(',', case when p_size > 10 then 'task' end, case when p_retailprice > 1000 then 'arch' end, case when p_partkey % 3 = 0 then 'card' end, case when p_partkey % 10 = 0 then 'disabled' end) as flags from part) select flags, round(s, 6)::double as score, count(*) as n from m group by all""")
-def metadata_quality(spark, sf):
-    k = F.col("p_partkey")
-    q = taxonomy.quality({"task": (F.col("p_size") > 10, 0.25), "arch": (F.col("p_retailprice") > 1000, 0.2), "card": (k % 3 == 0, 0.15), "disabled": (k % 10 == 0, -0.6)})
-    return table(spark, sf, "part").select(q.alias("q")).groupBy(F.array_join("q.flags", ",").alias("flags"), F.round("q.score", 6).alias("score")).agg(F.count("*").alias("n"))
-
-
 @query("""with a as (select p_brand as author, p_name as stem, p_size % 2 = 0 as q, p_size % 10 = 0 as o, p_type as up from part), s as (select author, stem, count(*) as k, sum(q::int) as q, sum(o::int) as o from a group by all),
  g as (select author, sum(k) as n, sum(q) as q, sum(o) as o, sum(case when k > 1 then k else 0 end) as r from s group by all), u as (select author, count(distinct up) as u from a group by all)
  select author, n::bigint as n, round(least(1, case when n >= 500 then 0.3 when n >= 100 then 0.18 when n >= 30 then 0.08 else 0 end + case when q / n >= 0.8 then 0.3 when q / n >= 0.5 then 0.18 else 0 end + case when u >= 100 then 0.2 when u >= 20 then 0.1 else 0 end
@@ -134,19 +114,29 @@ def mirror_scores(spark, sf):
     return taxonomy.mirror_score(a).select("author", "n", r6("mirror_score"))
 
 
-@query("""with k as (select coalesce(p_brand, '') || '|' || p_type || '|' || p_size as key from part) select 'duplicate_keys' as gate, round(1 - count(distinct key) / count(*), 6) as value, 1 - count(distinct key) / count(*) <= 0.5 as ok from k
- union all select 'largest_author', round(max(n) / sum(n), 6), max(n) / sum(n) <= 0.1 from (select count(*) as n from part group by p_brand)""")
-def quality_gates(spark, sf):
-    p = table(spark, sf, "part")
-    keys = p.select(taxonomy.duplicate_key(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("key"))
-    one = taxonomy.gate(keys, "duplicate_keys", 1 - F.countDistinct("key") / F.count("*"), 0.5)
-    two = taxonomy.gate(p.groupBy("p_brand").agg(F.count("*").alias("n")), "largest_author", F.max("n") / F.sum("n"), 0.1)
-    return one.unionByName(two).select("gate", r6("value"), "ok")
+_TAILS = ("", "-GGUF", "-q4_k_m-gguf", "-gguf-q4_k_m", "-lora-8bit-q5-fp16", "_IQ3_xs.awq", "-peft-gguf-int4-q8-lora-bf16", "-qlora-x")
+
 
+def _stripped(rounds: int) -> str:
+    """The marks taken off in SQL: all in turn, so many times."""
+    out = "select name, head, tail as s0 from p"
+    steps = [m for _ in range(rounds) for m in graph.NAME_MARKS]
+    for i, mark in enumerate(steps):
+        cut = f"regexp_replace(s{i}, '{mark}', '', 'i')"
+        out = f"select name, head, case when length({cut}) >= 3 then {cut} else s{i} end as s{i + 1} from ({out})"
+    return f"select name, head || s{len(steps)} as base from ({out})"
 
-@query(with_ctes("models") + """, b as (select name, regexp_replace(name, '[-_.]?(gguf|int8|lora|q4_k_m)$', '', 'i') as base from models) select name, base, count(*) as n from b where base <> name and base in (select name from models) group by all""")
+
+@query(
+    f"""with n as (select distinct p_brand || '/' || p_size || 'model' || ({inputs.sql_list(_TAILS)})[p_partkey % 8 + 1] as name from part),
+ p as (select name, split_part(name, '/', 1) || '/' as head, split_part(name, '/', 2) as tail from n), b as ({_stripped(4)})
+ select name, base from b where base <> name and base in (select name from n)"""
+)
 def lineage_by_name(spark, sf):
-    return graph.lineage_by_name(inputs.models(spark, sf).select("name")).groupBy("name", "base").agg(F.count("*").alias("n"))
+    p = table(spark, sf, "part")
+    tail = inputs.pick(_TAILS, F.col("p_partkey") % 8)
+    names = p.select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("model"), tail).alias("name")).distinct()
+    return graph.lineage_by_name(names)
 
 
 @query("""with m as (select p_partkey as id, ' ' || upper(p_name) || p_partkey as name, lower(q_name) || q_key as base, relation from (select p_partkey, p_name, (p_partkey // 2)::bigint as q_key, (['finetune', 'adapter', 'quantized'])[p_partkey % 3 + 1] as relation from part) join (select p_partkey as k, p_name as q_name from part) on k = q_key)
@@ -175,27 +165,43 @@ def card_matching(spark, sf):
     return j.groupBy(how.alias("match")).agg(F.count("*").alias("n"))
 
 
-_BM = """with qt as (select item_id as query, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) as token from benchmark where item_id % 10 = 0), dt as (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) as token from documents),
- tf as (select doc, token, count(*) as tf from dt group by all), dl as (select doc, count(*) as len from dt group by all), st as (select count(*) as n, avg(len) as al from dl), df as (select token, count(*) as df from tf group by all),
- idf as (select token, al, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from df, st where df >= 2 and df <= 0.25 * n),
- s as (select query, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) as score from (select distinct * from qt) join idf using (token) join tf using (token) join dl using (doc) group by all)"""
+_BM = """with qt as (select item_id as query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from benchmark),
+ dt as (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents),
+ tf as (select doc, token, count(*) as tf from dt group by all), st as (select count(distinct doc) as n from tf),
+ df as (select token, count(*) as df from tf group by all),
+ idf as (select token, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from df, st where df >= 2 and df <= 0.25 * n),
+ kept as (select tf.*, idf from tf join idf using (token)), dl as (select doc, sum(tf) as len from kept group by all),
+ av as (select (select sum(len) from dl) / n as al from st),
+ s as (select query, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) as score from (select distinct * from qt)
+ join kept using (token) join dl using (doc), av group by all)"""
 
 
-@query(_BM + " select query, doc, rank::int as rank, round(score, 5) as score from (select *, row_number() over (partition by query order by round(score, 6) desc, doc) as rank from s) where rank <= 10")
+@query(
+    _BM
+    + """ select query, doc, rank::int as rank, round(score, 5) as score from (select *, row_number() over (partition by query
+ order by round(score, 6) desc, doc) as rank from s) where rank <= 10"""
+)
 def bm25_top_10(spark, sf):
-    """The ten best documents for each tenth benchmark passage."""
-    q = lexical.tokens(table(spark, sf, "benchmark").where("item_id % 10 = 0").withColumnRenamed("item_id", "query"), "query", "text")
-    d = lexical.tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "doc"), "doc", "text")
-    s = lexical.bm25(q, d)
+    """The ten best documents for each benchmark passage."""
+    q = lexical.term_counts(table(spark, sf, "benchmark").withColumnRenamed("item_id", "query"), "query", "text")
+    d = lexical.term_counts(table(spark, sf, "documents").withColumnRenamed("doc_id", "doc"), "doc", "text")
+    s = lexical.bm25(q.select("query", "token"), d)
     r = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "doc"))
     return s.withColumn("rank", r).where("rank <= 10").select("query", "doc", "rank", F.round("score", 5).alias("score"))
 
 
-@query("""with n as (select distinct p_type as name from part), t as (select name, unnest(list_distinct(list_transform(range(1, length(name) - 1), lambda i: substr(lower(name), i, 3)))) as t from n), z as (select name, count(*) as n from t group by all),
- p as (select a.name as a, b.name as b, count(*) as i from t a join t b on a.t = b.t and a.name < b.name group by all) select a, b, round(i / (x.n + y.n - i), 6) as jaccard from p join z x on x.name = a join z y on y.name = b where i / (x.n + y.n - i) >= 0.5""")
+@query(
+    r"""with n as (select distinct lower(p_brand || ' (' || p_type || ')') as name from part union select distinct n_name from nation union select 'A!' union select 'a?b'),
+ c as (select name, trim(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g')) as c from n),
+ t as (select name, case when length(c) < 3 then [c] else list_distinct(list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3))) end as t from c)
+ select a.name as a, b.name as b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) as jaccard from t a join t b on a.name < b.name
+ where len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.5"""
+)
 def similar_names(spark, sf):
-    n = table(spark, sf, "part").select(F.col("p_type").alias("name"))
-    return lexical.trigram_similar(n, 0.5).select("a", "b", r6("jaccard"))
+    p, n = table(spark, sf, "part"), table(spark, sf, "nation")
+    brand = F.lower(F.concat("p_brand", F.lit(" ("), "p_type", F.lit(")"))).alias("name")
+    odd = spark.createDataFrame([("A!",), ("a?b",)], "name string")
+    return lexical.trigram_similar(p.select(brand).union(n.select("n_name")).union(odd), 0.5).select("a", "b", r6("jaccard"))
 
 
 @query("with p as (select *, json_extract_string(props, '$.' || json_keys(props)[1]) as first from events) select event_type, count(*) as n, count(first) as filled, count(distinct json_keys(props)[1]) as keys from p group by all")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from lakewright.functions.text import tie_key
 from lakewright.functions.vector import dot, norm, unit
-from lakewright.operators import ranking, retrieval
+from lakewright.operators import ranking, retrieval, vectors
 from lakewright.plans import inputs
 from lakewright.plans.evidence_queries import r6
 from lakewright.plans.inputs import with_ctes
@@ -26,6 +27,10 @@ def _scores(spark, sf):
     return retrieval.scores(inputs.queries(spark, sf), inputs.vectors(spark, sf))
 
 
+def _search(spark, sf, k):
+    return retrieval.blocked_top_k(inputs.queries(spark, sf), inputs.vectors(spark, sf), k)
+
+
 _TIE = "(item::hugeint * 11400714819323198485 + 15111065706836454659) % 18446744073709551616"
 
 
@@ -39,33 +44,61 @@ def blocked_top_k(spark, sf):
     return retrieval.blocked_top_k(inputs.queries(spark, sf), inputs.vectors(spark, sf), 20).select("query", "item", "rank", r6("score"))
 
 
-@query(with_ctes("sc") + """, d as (select *, row_number() over (partition by query order by score desc, item) as r from sc) select query, count(*) filter (r <= 10) as k10, round(min(score) filter (r <= 10), 6) as at10, round(min(score) filter (r <= 50), 6) as at50 from d where r <= 50 group by all""")
+#: Candidates that are retrieved for a query before they are fused; the prefixes that are read of longer lists.
+POOL, PREFIXES = 1000, (1000, 2000, 5000, 10_000)
+
+
+@query(
+    with_ctes("sc")
+    + f""", d as (select *, row_number() over (partition by query order by score desc, item) as r from sc),
+ k as (select unnest([{", ".join(map(str, PREFIXES))}]) as k)
+ select query, k::int as k, count(*) as held, round(min(score), 6) as least from d, k where r <= k group by all"""
+)
 def nested_prefixes(spark, sf):
-    t = retrieval.top_k(_scores(spark, sf), 50)
-    return t.groupBy("query").agg(F.count_if(F.col("rank") <= 10).alias("k10"), F.round(F.min(F.when(F.col("rank") <= 10, F.col("score"))), 6).alias("at10"), F.round(F.min("score"), 6).alias("at50"))
+    """Nested pools of one search: how many rows each holds and its least score."""
+    t = _search(spark, sf, max(PREFIXES))
+    each = t.withColumn("k", F.explode(F.array(*map(F.lit, PREFIXES)))).where("rank <= k")
+    return each.groupBy("query", "k").agg(F.count("*").alias("held"), F.round(F.min("score"), 6).alias("least"))
 
 
-_PR = """, pool as (select query, item, score from (select *, row_number() over (partition by query order by score desc, item) as r from sc) where r <= 100), pri as (select query, item, ((item * 31 + query) % 4) / 8.0::double as prior from pool where item % 3 = 0)"""
+_POOL = f""", pool as (select query, item, score from (select *, row_number() over (partition by query order by score desc, item) as r
+ from sc) where r <= {POOL})"""
+_FUSED = (
+    _POOL
+    + f""", f as (select query, pool.item, score, ((score::float + 1::float) / 2::float)::float + coalesce(prior, 0)::float as fused
+ from pool join q using (query) left join pri on pri.task = q.task and pri.item = pool.item),
+ fr as (select *, row_number() over (partition by query order by fused desc, {_TIE}) as rank from f)"""
+)
 
 
-def _pool(spark, sf):
-    pool = retrieval.top_k(_scores(spark, sf), 100)
-    pri = pool.where("item % 3 = 0").select("query", "item", ((F.col("item") * 31 + F.col("query")) % 4 / 8.0).alias("prior"))
-    return pool, pri
+def _query_prior(spark, sf):
+    """(query, item, prior): the priors of each query's task."""
+    return inputs.queries(spark, sf).select("query", "task").join(inputs.priors(spark, sf), "task").drop("task")
 
 
-@query(with_ctes("sc") + _PR + f""", f as (select query, item, ((score::float + 1::float) / 2::float)::float + coalesce(prior, 0)::float as fused from pool left join pri using (query, item))
- select query, item, rank::int as rank, round(fused::double, 5) as fused from (select *, row_number() over (partition by query order by fused desc, {_TIE}) as rank from f) where rank <= 10""")
-def fused_rerank(spark, sf):
-    pool, pri = _pool(spark, sf)
-    return retrieval.fuse(pool, pri, ["query", "item"]).select("query", "item", "rank", F.round(F.col("fused").cast("double"), 5).alias("fused"))
+def _fused(spark, sf, k):
+    return retrieval.fuse(_search(spark, sf, POOL), _query_prior(spark, sf), ["query", "item"], k)
 
 
-@query(with_ctes("sc") + _PR + f""", p as (select query, item, prior from pri where prior > 0.3), u as (select item from vec order by {_TIE}, item limit 20), z as (select query, item, 0.0::double as prior from q, u where (query, item) not in (select query, item from p))
- select query, item, rank::int as rank, prior from (select *, row_number() over (partition by query order by prior desc, {_TIE}) as rank from (select * from p union all select * from z)) where rank <= 10""")
+@query(with_ctes("sc", "pri") + _FUSED + " select query, item, rank::int as rank, round(fused::double, 5) as fused from fr where rank <= 10")
+def fused_rerank(spark, sf):
+    """A thousand candidates, reranked with the priors, first ten."""
+    return _fused(spark, sf, 10).select("query", "item", "rank", F.round(F.col("fused").cast("double"), 5).alias("fused"))
+
+
+@query(
+    with_ctes("q", "pri")
+    + f""", p as (select query, item, prior from (select query, item, prior, row_number() over (partition by query order by prior desc, {_TIE}) as r
+ from q join pri using (task)) where r <= 10),
+ u as (select item from vec order by {_TIE}, item limit 20),
+ z as (select query, item, 0.0::double as prior from q, u where (query, item) not in (select query, item from p))
+ select query, item, rank::int as rank, prior from (select *, row_number() over (partition by query order by prior desc, {_TIE}) as rank
+ from (select * from p union all select * from z)) where rank <= 10"""
+)
 def prior_with_backfill(spark, sf):
-    _, pri = _pool(spark, sf)
-    return retrieval.backfill(pri.where("prior > 0.3"), inputs.vectors(spark, sf), inputs.queries(spark, sf)).select("query", "item", "rank", "prior")
+    """The task's items by prior alone, over all items; where there are too few, items of no prior in tie order."""
+    best = retrieval.top_k(_query_prior(spark, sf), 10, order=[F.desc("prior"), tie_key(F.col("item"))])
+    return retrieval.backfill(best, inputs.vectors(spark, sf), inputs.queries(spark, sf)).select("query", "item", "rank", "prior")
 
 
 _RANKS = """, pb as (select *, row_number() over (partition by query order by value desc, item) as r, value >= max(value) over (partition by query) - 0.01 as near from lab),
@@ -75,7 +108,8 @@ _RANKS = """, pb as (select *, row_number() over (partition by query order by va
 
 def _ranks(spark, sf):
     p = ranking.probes(inputs.labels(spark, sf)).where("top3 or near")
-    return ranking.query_ranks(p.join(retrieval.ranks_of(_scores(spark, sf), p), ["query", "item"])).drop("n_candidates")
+    ranks = retrieval.full_ranks(inputs.queries(spark, sf), inputs.vectors(spark, sf), p)
+    return ranking.query_ranks(p.join(ranks, ["query", "item"])).drop("n_candidates")
 
 
 @query(with_ctes("sc", "lab") + _RANKS + " select * from qr")
@@ -100,7 +134,7 @@ _SL = ", sl as (select lab.query, lab.item, value, score from lab join sc on lab
 
 
 def _labelled(spark, sf):
-    return inputs.labels(spark, sf).join(_scores(spark, sf), ["query", "item"])
+    return retrieval.pair_scores(inputs.labels(spark, sf), inputs.queries(spark, sf), inputs.vectors(spark, sf))
 
 
 @query(with_ctes("sc", "lab") + _SL + """, g as (select query, coalesce((value - min(value) over w) / nullif(max(value) over w - min(value) over w, 0), 1) as g, row_number() over (w order by score desc, item) as r, row_number() over (w order by value desc, item) as i from sl window w as (partition by query))
@@ -139,7 +173,7 @@ _TOP = ", top as (select query, item, r from (select *, row_number() over (parti
 
 
 def _top10(spark, sf):
-    return retrieval.top_k(_scores(spark, sf), 10)
+    return _search(spark, sf, 10)
 
 
 @query(with_ctes("sc", "lab") + _TOP + """ select top.query, count(value) as verified, round(count(value) / 10.0, 6) as coverage, round(sum(coalesce(value / m, 0)) / 10, 6) as utility_bound, count(*) filter (value >= m - 0.01) as near_best from top left join lab on lab.query = top.query and lab.item = top.item
@@ -185,7 +219,7 @@ def recall_of_rounded(spark, sf):
     """Overlap of the exact lists with those of scores rounded to two digits."""
     s = _scores(spark, sf)
     rough = retrieval.top_k(s.withColumn("score", F.round("score", 2)), 10)
-    both = _top10(spark, sf).select("query", "item").join(rough.select("query", "item"), ["query", "item"]).groupBy("query").agg(F.count("*").alias("k"))
+    both = retrieval.top_k(s, 10).select("query", "item").join(rough.select("query", "item"), ["query", "item"]).groupBy("query").agg(F.count("*").alias("k"))
     return s.select("query").distinct().join(both, "query", "left").select("query", F.round(F.coalesce("k", F.lit(0)) / 10.0, 6).alias("recall"))
 
 
@@ -206,21 +240,16 @@ def centroid_cosine(spark, sf):
     return v.join(c, "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(dot(F.col("v"), F.col("c")) / (norm(F.col("v")) * norm(F.col("c")))), 6).alias("centroid_cosine"))
 
 
-@query(with_ctes("vec") + """, a as (select item, unnest(v) as x, generate_subscripts(v, 1) as i from vec), m as (select i, avg(x) as m from a group by all), z as (select item, i, x - m as x from a join m using (i)), c as (select a.i, b.i as j, avg(a.x * b.x) as c from z a join z b using (item) group by all)
+@query(with_ctes("vec") + """, a as (select item, unnest(v) as x, generate_subscripts(v, 1) as i from vec), m as (select i, avg(x) as m from a group by all),
+ z as (select item, i, x - m as x from a join m using (i)), c as (select a.i, b.i as j, avg(a.x * b.x) as c from z a join z b using (item) group by all)
  select round(pow(sum(c) filter (i = j), 2) / sum(c * c), 4) as participation_ratio from c""")
 def participation_ratio(spark, sf):
-    """Effective dimensions as trace(C)^2 / trace(C^2) of the covariance, without a decomposition."""
-    a = inputs.vectors(spark, sf).select("item", F.posexplode("v").alias("i", "x"))
-    mean = a.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    z = a.join(F.broadcast(mean), "i").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") - F.col("m")).alias("x")))).alias("z")).select(F.col("z.x").alias("z"))
-    outer = z.select(F.posexplode(F.flatten(F.transform("z", lambda x: F.transform("z", lambda y: x * y)))).alias("p", "c")).groupBy("p").agg(F.avg("c").alias("c"))
-    n = F.sqrt(F.count("*") + 0.0)
-    diag = outer.join(outer.agg(n.cast("long").alias("d")))
-    return diag.agg(F.round(F.pow(F.sum(F.when(F.col("p") % (F.col("d") + 1) == 0, F.col("c"))), F.lit(2)) / F.sum(F.col("c") * F.col("c")), 4).alias("participation_ratio"))
+    """Effective dimensions as trace(C)^2 / trace(C^2) of the covariance, from one small sum of products a task."""
+    return vectors.participation(inputs.vectors(spark, sf).select("v")).select(F.round("participation_ratio", 4).alias("participation_ratio"))
 
 
 @query(with_ctes("lab") + """, n as (select query, count(*) as n, max(value) as m, avg(value) as a, count(*) filter (value >= mx - 0.01) as near, count(*) filter (value = mx) as best from (select *, max(value) over (partition by query) as mx from lab) group by all)
- select round(avg(best / n), 6) as hit1, round(avg(least(3, n) / n), 6) as top3, round(avg(m - a), 6) as regret, round(avg(1 - list_reduce(list_prepend(1.0::double, list_transform(range(10), lambda j: greatest(500 - near - j, 0) / (500 - j)::double)), lambda x, y: x * y)), 6) as gap_10 from n""")
+ select round(avg(best / n), 6) as hit1, round(avg(least(3, n) / n), 6) as top3, round(avg(m - a), 6) as regret, round(avg(1 - list_reduce(list_prepend(1.0::double, list_transform(range(10), lambda j: greatest(pool - near - j, 0) / (pool - j)::double)), lambda x, y: x * y)), 6) as gap_10 from n, (select count(*) as pool from embeddings)""")
 def random_baseline(spark, sf):
     w = Window.partitionBy("query")
     n = inputs.labels(spark, sf).withColumn("mx", F.max("value").over(w)).groupBy("query").agg(F.count("*").alias("n"), F.max("value").alias("m"), F.avg("value").alias("a"), F.count_if(F.col("value") >= F.col("mx") - 0.01).alias("near"), F.count_if(F.col("value") == F.col("mx")).alias("best"))
@@ -230,9 +259,10 @@ def random_baseline(spark, sf):
 
 @query(None)
 def bootstrap_interval(spark, sf):
-    """Hash-weighted bootstrap: the hash is Spark's, so SQL elsewhere can't repeat it."""
+    """Paired bootstrap of hashed draws: the draws are this module's own, so SQL elsewhere can't repeat them."""
     d = _ranks(spark, sf).select("query", (ranking.hit(F.col("gold_rank"), 50) - ranking.hit(F.col("gap_rank"), 20)).alias("delta"))
-    return ranking.bootstrap(d).select(r6("mean"), r6("low"), r6("high"))
+    b = ranking.bootstrap(d)
+    return b.select("n_paired", r6("mean_delta"), r6("ci_low"), r6("ci_high"), r6("prob_positive"))
 
 
 @query("select round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) as slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) as intercept from lineitem")
