@@ -62,7 +62,7 @@ def name_buckets(spark, sf):
     with_ctes("rec")
     + r""" select id, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(name), '\(.*?\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ''), lower(name)) as root,
  translate(name, '/-_', '   ') as clean, split_part(name, '/', 1) as owner,
- array_to_string(list_filter(regexp_split_to_array(lower(name), '[/\-_.\s#]+'), lambda t: t <> ''), ' ') as tokens,
+ array_to_string(list_filter(list_filter(regexp_split_to_array(lower(name), '[/\-_.\s#]+'), lambda t: t <> ''), lambda t, i: list_position(list_filter(regexp_split_to_array(lower(name), '[/\-_.\s#]+'), lambda u: u <> ''), t) = i), ' ') as tokens,
  regexp_replace(lower(trim(coalesce(pipeline, ' A  b_c '))), '[\s_]+', '-', 'g') as task from rec"""
 )
 def name_forms(spark, sf):
