@@ -240,17 +240,24 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     return base, cut(reps, "reps")
 
 
-def _frequent(base: DataFrame) -> DataFrame:
-    """(sig): the shingles that are on many of a bounded sample of classes; at most MOST_FREQUENT."""
-    step = max(1, base.count() // SAMPLE)
-    some = base.where(F.pmod(F.xxhash64("k1", F.lit(5)), F.lit(step)) == 0).select("k1", F.explode("prefix").alias("sig"))
-    n = some.distinct().groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    return n.orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).select("sig", F.lit(True).alias("hot"))
+def _frequent(sets: DataFrame, shingles: str) -> DataFrame:
+    """(sig, hot): the shingles that are on many of a bounded sample of (id, shingles); at most MOST_FREQUENT rows."""
+    step = max(1, sets.count() // SAMPLE)
+    some = sets.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(step)) == 0).select("id", F.explode(shingles).alias("sig"))
+    n = some.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    n = n.where((F.col("n") >= FREQUENT) & (F.col("lo") != F.col("hi")))
+    return cut(n.orderBy(F.desc("n"), "sig").limit(MOST_FREQUENT).select("sig", F.lit(True).alias("hot")), "frequent")
+
+
+def _marked(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows (sig, id, ...) with hot, and deal: frequent shingles are dealt by set, the others by shingle alone."""
+    rows = rows.join(F.broadcast(frequent), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    return rows.withColumn("deal", F.when(F.col("hot"), F.col("id")).otherwise(F.lit(0)))
 
 
 def _beside(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (sig, id, n, hot) with ``before``: the next smaller set of the list, if the sizes allow a link; and ``shared``."""
-    by = Window.partitionBy("sig", F.when(F.col("hot"), F.col("id")).otherwise(F.lit(0))).orderBy("n", "id")
+    """Rows (sig, deal, id, n, hot) with ``before``: the next smaller set of the list, if the sizes allow a link; and ``shared``."""
+    by = Window.partitionBy("sig", "deal").orderBy("n", "id")
     fits = lambda small, large: large * num <= small * den
     near = rows.select(
         "*",
@@ -265,23 +272,20 @@ def _beside(rows: DataFrame, num: int, den: int) -> DataFrame:
     return near.withColumn("shared", F.col("hot") | F.coalesce(low, F.lit(False)) | F.coalesce(high, F.lit(False)))
 
 
-def candidates(base: DataFrame, frequent: DataFrame, num: int, den: int) -> DataFrame:
+def candidates(base: DataFrame, num: int, den: int) -> DataFrame:
     """(id): classes (by k1) that share enough prefix shingles to have partners."""
-    rows = base.select(F.explode("prefix").alias("sig"), F.col("k1").alias("id"), F.col("n_shingles").alias("n"))
-    rows = _marked(rows, frequent)
+    sets = base.select(F.col("k1").alias("id"), F.col("n_shingles").alias("n"), "prefix")
+    rows = _marked(sets.select(F.explode("prefix").alias("sig"), "id", "n"), _frequent(sets, "prefix"))
     for _ in range(2):
-        shared = cut(_beside(rows, num, den).where("shared").select("sig", "id", "n", "hot").distinct(), "shared")
+        near = _beside(rows, num, den).where("shared").select("sig", "deal", "id", "n", "hot")
+        shared = cut(near.distinct(), "shared")  # dealt as the window is: no shuffle
         counts = shared.groupBy("id", "n").agg(F.count("*").alias("c"))
         able = cut(counts.where(F.col("c") >= floor_of(F.col("n"), num, den)).select("id").distinct(), "able")
         rows = shared.join(able, "id", "left_semi")
     return able
 
 
-def _marked(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(frequent), "sig", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-
-
-def candidate_groups(sets: DataFrame, frequent: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(id, component): candidates in groups that no link leaves.
 
     Longer prefixes, whose shingles are ordered by how many candidates hold them, the rarest first. A set with c shingles that
@@ -289,14 +293,14 @@ def candidate_groups(sets: DataFrame, frequent: DataFrame, num: int, den: int) -
     comes last there, so it ties only sets that hold little else.
     """
     rows = sets.select("id", "n", F.explode("wide").alias("sig"))
-    by = Window.partitionBy("sig", F.when(F.col("hot"), F.col("id")).otherwise(F.lit(0)))
-    held = _marked(rows, frequent).withColumn("f", F.count("*").over(by)).where((F.col("f") > 1) | F.col("hot"))
+    by = Window.partitionBy("sig", "deal")
+    held = _marked(rows, _frequent(sets, "wide")).withColumn("f", F.count("*").over(by)).where((F.col("f") > 1) | F.col("hot"))
     inside = Window.partitionBy("id")
     ordered = inside.orderBy("hot", "f", "sig")
     held = held.withColumn("new", F.coalesce(F.lag("sig").over(ordered) != F.col("sig"), F.lit(True)).cast("int"))
     held = held.withColumn("r", F.dense_rank().over(ordered)).withColumn("c", F.sum("new").over(inside))
     kept = held.where((F.col("new") == 1) & (F.col("r") <= F.col("c") - floor_of(F.col("n"), num, den, MORE[1]) + 1))
-    left = _beside(kept.select("sig", "id", "n", "hot"), num, den).where("shared")
+    left = _beside(kept.select("sig", "deal", "id", "n", "hot"), num, den).where("shared")
     # along a list each set is tied to the one before it; a frequent shingle ties its sets by its own name
     edges = left.select(F.col("id").alias("src"), F.when(F.col("hot"), F.col("sig")).otherwise(F.col("before")).alias("dst"))
     return connected_components(edges.where("dst is not null").distinct()).withColumnRenamed("node", "id")
@@ -311,9 +315,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """(doc_id, n_shingles, component_id) of every row; documents link when den * overlap >= num * union."""
     _check(num, den)
     base, reps = classes(docs, n, num, den)
-    frequent = cut(_frequent(base), "frequent")  # MOST_FREQUENT rows at most
     named = reps.select("node", F.col("k1").alias("id"))
-    wanted = cut(candidates(base, frequent, num, den).join(named, "id"), "wanted").withColumnRenamed("node", "doc_id")
+    wanted = cut(candidates(base, num, den).join(named, "id"), "wanted").withColumnRenamed("node", "doc_id")
     texts = only(docs, "doc_id", "text").join(_few(wanted), "doc_id")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +331,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 yield out[[key(s, 77) == i for s, i in zip(made, part["id"], strict=True)]]
 
     sets = cut(texts.mapInPandas(to_sets, "doc_id long, id long, n long, s array<long>, wide array<long>"), "sets")
-    groups = candidate_groups(sets, frequent, num, den)
+    groups = candidate_groups(sets, num, den)
     members = cut(sets.select("doc_id", "id", "n").distinct().join(groups, "id"), "members")
     load = members.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("k")).where("k > 1")
     members = members.join(load, "component").withColumn("chunks", F.ceil(F.col("load") / BLOCK).cast("int"))
