@@ -19,7 +19,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -238,24 +238,32 @@ def scan(docs: DataFrame, given: dict[str, tuple[str, ...]] | None = None, thres
     docs = docs.drop(*(c for c in ("license", "license_dice", "license_hits") if c in docs.columns))
     none = F.array().cast("array<struct<dice:double,license:string>>")
 
-    def held(x: Column) -> Column:
-        """Whether a text or unit has an anchor; without one nothing in it matches."""
-        some = F.exists(F.split(F.lit("\n".join(marks)), "\n"), lambda m: F.contains(x, m)) if marks else F.lit(False)
-        return some | x.rlike("|".join(m.replace(" ", "[^a-z0-9]+") for m in pairs)) if pairs else some
+    def held(words: Column, text: Column) -> Column:
+        """Whether a text or unit, its words told apart by blanks, has an anchor; without one nothing in it matches."""
+        some = F.exists(words, lambda w: w.isin(*marks)) if marks else F.lit(False)  # one look-up in a hash set a word
+        return reduce(lambda c, m: c | F.contains(text, F.lit(m)), pairs, some)
+
+    split = lambda x: F.split(x, " ")
 
     def of_text(plain: Column) -> Column:
         # units: lines, paragraphs and the text; of equal units one is compared
         paragraphs = F.transform(F.split(plain, "\n *\n"), lambda b: F.translate(b, "\n", " "))
-        units = F.filter(F.array_distinct(F.concat(F.split(plain, "\n"), paragraphs, F.array(F.translate(plain, "\n", " ")))), held)
-        words = F.transform(units, lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
-        whole = F.filter(F.split(F.translate(plain, "\n", " "), " "), lambda w: w != "")
+        every = F.array_distinct(F.concat(F.split(plain, "\n"), paragraphs, F.array(F.translate(plain, "\n", " "))))
+        units = F.filter(every, lambda u: held(split(u), u))
+        words = F.transform(units, lambda u: F.filter(split(u), lambda w: w != ""))
+        whole = F.filter(split(F.translate(plain, "\n", " ")), lambda w: w != "")
         of_units = F.flatten(F.transform(words, lambda w: _hits(w, known, table, threshold)))
         both = _bound(of_units, lambda h: F.concat(h, _window_hits(whole, h, table, vocabulary, threshold)))
         return F.array_distinct(F.transform(both, lambda h: F.struct(h["dice"].alias("dice"), h["license"].alias("license"))))
 
-    # one-element arrays bind the lower-cased and the normalised text to names, so each is made once
-    of_held = lambda x: F.flatten(F.transform(F.array(F.regexp_replace(x, "[^a-z0-9\n]+", " ")), of_text))
-    hits = F.flatten(F.transform(F.array(F.lower(F.coalesce(docs["text"], F.lit("")))), lambda x: F.when(held(x), of_held(x)).otherwise(none)))
+    # one-element arrays bind the normalised text and its one-line form to names, so each is made once
+    def of_plain(plain: Column) -> Column:
+        line = F.translate(plain, "\n", " ")
+        some = F.flatten(F.transform(F.array(line), lambda x: F.array(held(split(x), x))))
+        return F.when(F.get(some, F.lit(0)), of_text(plain)).otherwise(none)
+
+    lower = F.lower(F.coalesce(docs["text"], F.lit("")))
+    hits = F.flatten(F.transform(F.array(F.regexp_replace(lower, "[^a-z0-9\n]+", " ")), of_plain))
     # a generator of one row, so that the plan doesn't copy the expression to each place that reads it
     out = docs.select("*", F.inline(F.array(F.struct(hits.alias("license_hits")))))
     out = out.withColumn("_best", F.get(F.array_sort(F.transform("license_hits", lambda h: F.struct((-h["dice"]).alias("d"), h["license"].alias("license")))), F.lit(0)))
