@@ -12,6 +12,8 @@ from lakewright.operators.ordering import running
 
 #: How far below the best a label counts as near the best.
 GAP = 0.01
+#: Most queries of a paired bootstrap (8 bytes each in every task).
+MOST_PAIRED = 4_000_000
 
 
 def probes(labels: DataFrame, gap: float = GAP) -> DataFrame:
@@ -116,17 +118,20 @@ def bootstrap(deltas: DataFrame, rounds: int = 10_000, block: int = 250) -> Data
     Queries are numbered by id; draw j of round r takes the one at a hash of (r, j). Rounds are dealt to tasks in blocks and
     each task holds the deltas of one seed's queries, 8 bytes each. Without rows the bounds are null.
     """
-    numbered = running(deltas.where("delta is not null"), [F.col("query")])
+    kept = deltas.where("delta is not null")
+    if kept.count() > MOST_PAIRED:
+        raise ValueError(f"more than {MOST_PAIRED} paired queries: each task would hold them all")
+    numbered = running(kept, [F.col("query")])
     values = np.array([r.delta for r in numbered.select("row", "delta").orderBy("row").collect()])  # one number a query
     spark = deltas.sparkSession
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for first in pdf["id"]:
-                at = np.arange(first * block, min(rounds, (first + 1) * block), dtype=np.uint64)
+                salts = np.arange(first * block, min(rounds, (first + 1) * block), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 means = []
-                for r in at:
-                    h = np.arange(len(values), dtype=np.uint64) + r * np.uint64(0x9E3779B97F4A7C15)
+                for salt in salts:
+                    h = np.arange(len(values), dtype=np.uint64) + salt
                     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
                     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                     means.append(values[((h ^ (h >> np.uint64(32))) % np.uint64(max(len(values), 1))).astype(np.int64)].mean())
@@ -138,8 +143,8 @@ def bootstrap(deltas: DataFrame, rounds: int = 10_000, block: int = 250) -> Data
         F.percentile("m", F.lit(0.975)).alias("ci_high"),
         F.avg((F.col("m") > 0).cast("int")).alias("prob_positive"),
     )
-    mean = deltas.agg(F.count("delta").alias("n_paired"), F.avg("delta").alias("mean_delta"))
-    return mean.crossJoin(bounds)  # one row each
+    mean = (len(values), float(values.mean()) if len(values) else None)
+    return spark.createDataFrame([mean], "n_paired long, mean_delta double").crossJoin(bounds)  # one row each
 
 
 def specificity(lists: DataFrame, n_items: int) -> DataFrame:

@@ -83,9 +83,10 @@ def test_rerank_ranks_and_ties(spark):
     pool = spark.createDataFrame([(0, i, s) for i, s in enumerate((0.9, 0.8, 0.7, 0.6))], "query long, item long, score double")
     pri = spark.createDataFrame([(0, 3, 1.0)], "query long, item long, prior double")
     assert retrieval.fuse(pool, pri, ["query", "item"]).where("rank = 1").first().item == 3
-    zeros = spark.range(100).select(F.lit(0).alias("query"), F.col("id").alias("item"), F.lit(0.0).alias("score"))
-    probe = zeros.orderBy(text.tie_key(F.col("item")).desc()).limit(1)
-    assert retrieval.ranks_of(zeros, probe).first()["rank"] == 1 and retrieval.ranks_of(zeros, probe, tie_break=True).first()["rank"] == 100
+    zeros = spark.range(100).select(F.col("id").alias("item"), F.array(F.lit(0.0)).alias("v"))
+    q = spark.createDataFrame([(0, [1.0])], "query long, q array<double>")
+    probe = zeros.orderBy(text.tie_key(F.col("item")).desc()).limit(1).select(F.lit(0).cast("long").alias("query"), "item")
+    assert retrieval.full_ranks(q, zeros, probe).first()["rank"] == 1 and retrieval.full_ranks(q, zeros, probe, tie_break=True).first()["rank"] == 100
 
 
 def test_ndcg_calibration_and_correlations(spark):
@@ -104,7 +105,9 @@ def test_lineage_by_name(spark):
 
 def test_taxonomy_cascades(spark):
     df = spark.createDataFrame([("org/Foo-7B-GGUF", ["en", "fr"], 0.05), ("org/7b-gguf", [], None), ("org/bar-int8", ["de"], 95.0)], "name string, codes array<string>, size double")
-    got = [tuple(r) for r in df.select(taxonomy.repo_stem(F.col("name")), taxonomy.quant_method(F.array().cast("array<string>"), F.col("name")), taxonomy.quant_bits(F.col("name")), taxonomy.language_bucket(F.col("codes"), F.lit(True)), taxonomy.scale_bucket(F.col("size"))).collect()]
+    quant = taxonomy.quantisation(F.lit(False), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("name"))
+    bucket = taxonomy.language_bucket(F.col("codes"), F.lit("image-generation"))
+    got = [tuple(r) for r in df.select(taxonomy.repo_stem(F.col("name")), quant["method"], quant["bits"], bucket, taxonomy.scale_bucket(F.col("size"))).collect()]
     assert got == [("foo", "gguf", None, "multilingual-with-english", "<0.1B"), ("7b-gguf", "gguf", None, "language-neutral", "unknown"), ("bar", "fp8", 8, "non-english", ">=90B")]
 
 
@@ -151,7 +154,7 @@ def test_random_baseline_takes_the_real_pool(spark, tmp_path):
     rows = [(i, [1.0, float(i)], i % 2) for i in range(n)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     chances = []
-    for q in range(0, n, 50):
+    for q in range(0, n, 20):
         values = [(q * 7919 + i * 104729) % 101 / 100.0 for i in range(n) if i % 2 == q % 2 and i != q]
         near, miss = sum(v >= max(values) - 0.01 for v in values), 1.0
         for j in range(10):
