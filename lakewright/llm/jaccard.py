@@ -334,7 +334,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     groups = candidate_groups(sets, num, den)
     members = cut(sets.select("doc_id", "id", "n").distinct().join(groups, "id"), "members")
     load = members.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("k")).where("k > 1")
-    members = members.join(load, "component").withColumn("chunks", F.ceil(F.col("load") / BLOCK).cast("int"))
+    members = members.join(_few(cut(load, "loads")), "component").withColumn("chunks", F.ceil(F.col("load") / BLOCK).cast("int"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     members = cut(members.select("doc_id", "id", "n", "component", "chunks", chunk.alias("chunk")), "members")
     tasks = int((members.agg(F.sum("n")).first()[0] or 0) // (4 * BLOCK)) + 1
@@ -359,7 +359,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """Broadcast if the rows, counted first, are FEW."""
+    """Broadcast if the rows, counted first, are FEW: then a group of many rows needn't be dealt to one task."""
     return F.broadcast(df) if df.count() <= FEW else df
 
 
@@ -369,7 +369,8 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     known = members.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     size = known.groupBy("component", "label").agg(F.count("*").alias("k"))
     most = size.groupBy("component").agg(F.max(F.struct("k", "label")).alias("m"))
-    return cut(known.join(most.select("component", F.col("m.label").alias("main")), "component"), "labels")
+    most = cut(most.select("component", F.col("m.label").alias("main")), "main")
+    return cut(known.join(_few(most), "component"), "labels")
 
 
 def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
@@ -401,7 +402,7 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den
     def parts(sought: DataFrame) -> DataFrame:
         """``sought`` with a part, and each group's number of parts."""
         n = sought.groupBy("component").agg(F.ceil(F.sum("n") / SOUGHT).cast("int").alias("parts"))
-        return sought.join(n, "component").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
+        return sought.join(_few(cut(n, "parts")), "component").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
 
     # a few of each label against a few of the largest
     known = _labelled(members, links)
@@ -409,7 +410,7 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den
     rank = known.withColumn("r", F.row_number().over(order))
     some = parts(rank.where((F.col("label") != F.col("main")) & (F.col("r") <= ASKING)))
     pivots = rank.where((F.col("label") == F.col("main")) & (F.col("r") <= PIVOTS))
-    pivots = pivots.join(some.select("component", "part").distinct(), "component")
+    pivots = pivots.join(_few(cut(some.select("component", "part").distinct(), "parts")), "component")
     keep = [*at, "label", "part", F.lit(0).alias("chunk")]
     links = links.union(met(some.select(*keep), pivots.select(*keep), 1))
 
@@ -419,7 +420,7 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den
     if not sought.take(1):
         return links
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    held = known.join(sought.select("component", "part").distinct(), "component")
+    held = known.join(_few(cut(sought.select("component", "part").distinct(), "parts")), "component")
     asked = sought.select(*at, "label", "part", every)
     tasks = asked.select("component", "part", "chunk").distinct().count()
     return links.union(met(asked, held.select(*at, "label", "part", "chunk"), tasks // 4))
