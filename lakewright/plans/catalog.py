@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakewright.plans import audit_queries, evaluation_queries, evidence_queries, graph_queries, name_queries, retrieval_queries, taxonomy_queries
+from lakewright.plans import audit_queries, cohort_queries, evaluation_queries, evidence_queries, graph_queries, name_queries, retrieval_queries, taxonomy_queries
 
-_PARTS = (evidence_queries, retrieval_queries, graph_queries, name_queries, taxonomy_queries, evaluation_queries, audit_queries)
+_PARTS = (evidence_queries, retrieval_queries, graph_queries, name_queries, taxonomy_queries, evaluation_queries, audit_queries, cohort_queries)
 
 
 def queries() -> dict:
