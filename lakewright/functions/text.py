@@ -79,3 +79,8 @@ def number(c: Column) -> Column:
     s = F.regexp_replace(strip(F.regexp_replace(strip(c.cast("string")), r"^\[([^,\[\]]*)\]$", "$1")), "%$", "")
     v = strip(s).try_cast("double")
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")) & ~F.lower(s).isin("true", "false"), v)
+
+
+def utc_now() -> Column:
+    """The query's time in UTC, to the second, as 2024-01-31T23:59:59+00:00."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

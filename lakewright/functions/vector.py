@@ -29,3 +29,13 @@ def masked(a: Column, positions: tuple[int, ...]) -> Column:
 def sound(a: Column) -> Column:
     """No null, NaN or infinite component."""
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def joined(*parts: Column) -> Column:
+    """Feature blocks one after the other; null if a block is null."""
+    return F.concat(*parts)
+
+
+def block(a: Column, start: int, n: int) -> Column:
+    """``n`` components from position ``start`` (from 0)."""
+    return F.slice(a, start + 1, n)

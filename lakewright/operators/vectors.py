@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def moments(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -81,3 +81,42 @@ def mask_violations(vectors: DataFrame, positions: tuple[int, ...]) -> DataFrame
     """(pos, n): how many vectors are not 0 at each position that should be masked."""
     each = vectors.select(F.explode(F.array(*map(F.lit, positions))).alias("pos"), "v")
     return each.groupBy("pos").agg(F.count_if(F.coalesce(F.get("v", F.col("pos")), F.lit(1.0)) != 0).alias("n"))
+
+
+def align(a: DataFrame, b: DataFrame) -> tuple[np.ndarray, float, float, float]:
+    """(rotation, determinant, mean shift before, after) that turns places ``b`` onto ``a``, both (item, p) with few dimensions.
+
+    The orthogonal matrix, a mirror allowed, of least squares over the common items, without scaling; what reaches the driver
+    is one matrix of dims x dims sums. Different items on the two sides raise.
+    """
+    both = a.select("item", F.col("p").alias("x")).join(b.select("item", F.col("p").alias("y")), "item", "full")
+    head = both.where("x is not null").select(F.size("x").alias("d")).first()
+    if head is None or both.where("x is null or y is null").take(1):
+        raise ValueError("the two layouts don't hold the same items")
+    d = head.d
+    at = lambda c, i: F.get(c, F.lit(i)).cast("double")
+    means = both.agg(*[F.avg(at(c, i)).alias(f"{c}{i}") for c in "xy" for i in range(d)]).first()
+    sums = both.agg(*[F.sum((at("y", i) - means[f"y{i}"]) * (at("x", j) - means[f"x{j}"])).alias(f"s{i}_{j}") for i in range(d) for j in range(d)]).first()
+    u, _, vt = np.linalg.svd(np.array([[sums[f"s{i}_{j}"] for j in range(d)] for i in range(d)]))
+    r = u @ vt
+    turned = [sum((at("y", i) * float(r[i, j]) for i in range(d)), F.lit(0.0)) for j in range(d)]
+    length = lambda parts: F.sqrt(sum((F.pow(p - at("x", j), 2) for j, p in enumerate(parts)), F.lit(0.0)))
+    shift = both.agg(F.avg(length([at("y", j) for j in range(d)])).alias("raw"), F.avg(length(turned)).alias("fit")).first()
+    return r, float(np.linalg.det(r)), shift.raw, shift.fit
+
+
+def quantise(places: DataFrame, share: float = 0.999) -> DataFrame:
+    """(item, q array<int>): coordinates as whole numbers up to 32,767 on one scale, 1.02 times the share-quantile of their sizes.
+
+    Halves go to even; what lies beyond the scale is cut to its end. Places that are all 0 stay 0.
+    """
+    each = places.select(F.explode("p").alias("x")).agg((F.percentile(F.abs("x"), F.lit(share)) * 1.02).alias("scale"))
+    one = lambda x: F.greatest(F.lit(-32767), F.least(F.lit(32767), F.bround(F.coalesce(x / F.nullif("scale", F.lit(0.0)), F.lit(0.0)) * 32000.0, 0).cast("int")))
+    return places.crossJoin(F.broadcast(each)).select("item", F.transform("p", one).alias("q"))  # one row
+
+
+def slots(families: DataFrame, most: int = 26, least: int = 400) -> DataFrame:
+    """(family, n, slot): the largest families with ``least`` items or more, 0 (other) apart, numbered from 1; ties to the smaller id."""
+    n = families.where("family <> 0").groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    top = n.orderBy(F.desc("n"), "family").limit(most)  # at most ``most`` rows
+    return top.withColumn("slot", F.row_number().over(Window.orderBy(F.desc("n"), "family")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakewright.operators import cohorts
+from lakewright.functions.vector import block, joined
+from lakewright.operators import cohorts, vectors
 from lakewright.plans import inputs
 from lakewright.plans.audit_queries import _SIDES, _roles
 from lakewright.plans.evaluation_queries import _LAYERS, _layers
@@ -332,3 +333,35 @@ def batch_pairs(spark, sf):
 def gold_rules(spark, sf):
     """The knobs of the definition of gold as rows."""
     return cohorts.GoldRules().row(spark)
+
+
+@query(
+    with_ctes("vec")
+    + """, c as (select item, v[1:3] as p from vec), s as (select quantile_cont(abs(x), 0.999) * 1.02 as scale from (select unnest(p) as x from c))
+ select item, list_transform(p, lambda x: greatest(-32767, least(32767, round_even(x / scale * 32000.0, 0)::int))) as q from c, s"""
+)
+def packed_layout(spark, sf):
+    """Three coordinates of each vector as whole numbers on a common scale."""
+    p = inputs.vectors(spark, sf).select("item", F.transform(block(F.col("v"), 0, 3), lambda x: x.cast("double")).alias("p"))
+    return vectors.quantise(p)
+
+
+@query(
+    """with n as (select p_size % 40 as family, count(*) as n from part where p_size % 40 <> 0 group by all having count(*) >= 3)
+ select family, n, (row_number() over (order by n desc, family))::int as slot from n qualify slot <= 26"""
+)
+def family_slots(spark, sf):
+    """The largest families in order, numbered for display."""
+    return vectors.slots(table(spark, sf, "part").select((F.col("p_size") % 40).alias("family")), least=3)
+
+
+@query(
+    with_ctes("vec")
+    + """ select item, len(list_concat(v[1:8], v[61:64], [label::double])) as n, round(list_sum(list_concat(v[1:8], v[61:64], [label::double])), 6) as total from vec"""
+)
+def joined_features(spark, sf):
+    """Blocks of a vector and a category as one feature vector."""
+    v = inputs.vectors(spark, sf)
+    one = joined(block(F.col("v"), 0, 8), block(F.col("v"), 60, 4), F.array(F.col("label").cast("float")))
+    x = v.select("item", F.transform(one, lambda c: c.cast("double")).alias("x"))
+    return x.select("item", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda t, c: t + c), 6).alias("total"))

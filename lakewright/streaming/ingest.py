@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -25,3 +25,19 @@ def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hou
     """Counts and sums of tumbling windows by type: an extension; works on streams (with a watermark) and tables."""
     kept = events.withWatermark("ts", late) if events.isStreaming else events
     return kept.groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+
+
+def onboard(stream: DataFrame, index: str, checkpoint: str, vector: Column) -> None:
+    """Append new models (id, ...) with their ``vector`` to the index table (id, v, batch); ids that it holds are left out.
+
+    Each batch writes its own folder over what an earlier try of the same batch left, so a replay adds nothing twice.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.where("id is not null").select("id", vector.alias("v")).dropDuplicates(["id"])
+        held = spark.read.schema("id string, v array<double>, batch long").parquet(index).where(F.col("batch") < number)
+        fresh.join(held.select("id"), "id", "left_anti").write.mode("overwrite").parquet(f"{index}/batch={number}")
+
+    stream.sparkSession.range(0).select(F.lit("").alias("id"), F.array().cast("array<double>").alias("v")).write.mode("ignore").parquet(f"{index}/batch=-1")
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
