@@ -108,6 +108,29 @@ def incompatible(edges: DataFrame, tasks: DataFrame) -> DataFrame:
     return used.select("dst", (F.col("models") - F.col("have")).alias("n"))
 
 
+def gap_pairs(values: DataFrame, gap: int) -> DataFrame:
+    """(d, pairs): pairs of a group of which one is better by more than ``gap``; ``values``: (d, w), whole numbers.
+
+    Counted by a range over the sorted values, no pair is made. Null groups and values are in no pair.
+    """
+    below = F.count("*").over(Window.partitionBy("d").orderBy("w").rangeBetween(Window.unboundedPreceding, -gap - 1))
+    known = values.where("d is not null and w is not null").withColumn("k", below)
+    return known.groupBy("d").agg(F.sum("k").alias("pairs")).where("pairs > 0")
+
+
+def rounded_mean(x: Column, times: int) -> Column:
+    """The mean, times a whole number, rounded to a whole number, halves away from zero.
+
+    Values of six decimals or fewer are summed as whole millionths: a sum of doubles depends on its order, and so would a
+    half's side. Others, and sums beyond 64 bits, are rounded from the plain mean.
+    """
+    unit = F.when(F.abs(x) < 1e9, F.round(x * 1e6).cast("long"))
+    total, n = F.try_sum(unit).cast("decimal(19,0)"), F.count(x).cast("decimal(12,0)")
+    whole = (F.count_if(unit / 1e6 == x) == F.count(x)) & total.isNotNull()
+    share = F.call_function("div", F.abs(total) * (2 * times) + n * 1_000_000, n * 2_000_000)
+    return F.when(whole, F.signum(total).cast("long") * share).otherwise(F.round(F.avg(x) * times).cast("long"))
+
+
 def sampling_mass(
     edges: DataFrame, models: DataFrame, n0: float = 1.0, alpha: float = 0.75, gamma: float = 0.0
 ) -> DataFrame:

@@ -205,10 +205,9 @@ def positives_by_root(spark, sf):
 
 @query("""with e as (select l_partkey % 50 as d, l_suppkey as m, round(avg(l_extendedprice) * 1000)::bigint as w from lineitem group by all) select a.d, count(*) as pairs from e a join e b on a.d = b.d and a.w - b.w > 20000000 group by all""")
 def contrast_pairs(spark, sf):
-    """Pairs of a dataset where one is better by a gap: counted by a range over the sorted weights, no pair is made."""
-    e = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("d"), F.col("l_suppkey").alias("m")).agg(F.round(F.avg("l_extendedprice") * 1000).cast("long").alias("w"))
-    below = F.count("*").over(Window.partitionBy("d").orderBy("w").rangeBetween(Window.unboundedPreceding, -20000001))
-    return e.withColumn("k", below).groupBy("d").agg(F.sum("k").alias("pairs")).where("pairs > 0")
+    """Pairs of a dataset where one is better by a gap."""
+    e = table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("d"), F.col("l_suppkey").alias("m"))
+    return graph.gap_pairs(e.agg(graph.rounded_mean(F.col("l_extendedprice"), 1000).alias("w")), 20_000_000)
 
 
 @query("with e as (select distinct l_suppkey as m, l_partkey % 50 as d from lineitem) select a.m, count(distinct b.m) as peers from e a join e b on a.d = b.d and a.m <> b.m group by all")
