@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakewright.functions.text import normal_id
+from lakewright.storage import cut
+
+#: Sets of groups that go to the tasks at once, and those compared with them at a time.
+SIGNATURES, AT_ONCE = 16_384, 64
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -108,6 +117,51 @@ def incompatible(edges: DataFrame, tasks: DataFrame) -> DataFrame:
     return used.select("dst", (F.col("models") - F.col("have")).alias("n"))
 
 
+def peers(edges: DataFrame) -> DataFrame:
+    """(m, peers): how many other members share a group with each member that shares one; ``edges``: (m, d), members and groups.
+
+    Members with equal sets of groups are one row with a count; sets are compared as bits, SIGNATURES at a time with all of
+    them, so no pair of members is made. Null members and groups share nothing.
+    """
+    held = edges.where("m is not null and d is not null").groupBy("m").agg(F.sort_array(F.collect_set("d")).alias("s"))
+    held = cut(held, "held")
+    kinds = cut(held.groupBy("s").agg(F.count("*").alias("n")), "kinds")
+    blocks = max(1, -(-kinds.count() // SIGNATURES))
+
+    def of(block: DataFrame) -> DataFrame:
+        rows = block.collect()  # SIGNATURES rows about
+        place = {d: i for i, d in enumerate(sorted({d for r in rows for d in r.s}))}
+
+        def bits(sets) -> np.ndarray:
+            out = np.zeros((-(-len(place) // 64) or 1, len(sets)), np.uint64)
+            for j, s in enumerate(sets):
+                for i in (place[d] for d in s if d in place):
+                    out[i // 64, j] |= np.uint64(1 << i % 64)
+            return out
+
+        other, n = bits([r.s for r in rows]), np.array([r.n for r in rows], float)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                own, found = bits(pdf["s"]), []
+                for lo in range(0, len(pdf), AT_ONCE):
+                    met = np.zeros((len(pdf["s"].iloc[lo : lo + AT_ONCE]), len(n)), bool)
+                    for a, b in zip(own, other, strict=True):
+                        met |= (a[lo : lo + AT_ONCE, None] & b) != 0
+                    found.append(met @ n)
+                yield pd.DataFrame({"k": pdf["k"], "c": np.concatenate(found or [np.zeros(0)]).astype(np.int64)})
+
+        return keyed.select("k", "s").mapInPandas(run, "k string, c long")
+
+    # a set's name is its text, which is exact
+    keyed = kinds.withColumn("k", F.col("s").cast("string")).repartition("k")
+    some = [kinds.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == b) for b in range(blocks)]
+    met = reduce(DataFrame.union, map(of, some)).groupBy("k").agg((F.sum("c") - 1).alias("peers"))
+    met = cut(met, "met")
+    met = F.broadcast(met) if blocks == 1 else met  # few kinds: many members of one aren't dealt to one task
+    return held.select("m", F.col("s").cast("string").alias("k")).join(met, "k").where("peers > 0").select("m", "peers")
+
+
 def gap_pairs(values: DataFrame, gap: int) -> DataFrame:
     """(d, pairs): pairs of a group of which one is better by more than ``gap``; ``values``: (d, w), whole numbers.
 

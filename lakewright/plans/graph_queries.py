@@ -212,9 +212,7 @@ def contrast_pairs(spark, sf):
 
 @query("with e as (select distinct l_suppkey as m, l_partkey % 50 as d from lineitem) select a.m, count(distinct b.m) as peers from e a join e b on a.d = b.d and a.m <> b.m group by all")
 def co_members(spark, sf):
-    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("m"), (F.col("l_partkey") % 50).alias("d")).distinct()
-    pair = e.join(e.select(F.col("m").alias("p"), "d"), "d").where("m <> p")
-    return pair.groupBy("m").agg(F.countDistinct("p").alias("peers"))
+    return graph.peers(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("m"), (F.col("l_partkey") % 50).alias("d")))
 
 
 @query(_SUP + ", r as (select *, row_number() over (partition by dst order by w desc, src) as k, count(*) over (partition by dst) as n from sup) select dst, count(*) as kept from r where k <= greatest(1, round_even(0.1 * n, 0)) group by all")

@@ -44,3 +44,18 @@ def test_contrast_pairs_on_halves_and_nulls(spark, same):
     assert {tuple(r) for r in graph.gap_pairs(e, 20_000_000).collect()} == {(d, 1) for d in range(40)}
     odd = [(1, None, 1.0), (2, None, 90_000.0), (1, 3, None), (2, 3, 90_000.0), (4, 3, 1.0), (None, 3, 2.0), (1, 5, 0.123456789)]
     same("contrast_pairs", lineitem=spark.createDataFrame(odd, LINES))
+
+
+def test_co_members_of_few_and_many_groups(spark, same, monkeypatch):
+    draw = random.Random(2)
+    rows = [(m, draw.randrange(50), 1.0) for m in range(300) for _ in range(draw.randrange(1, 4))]
+    rows += [(None, 1, 1.0), (400, None, 1.0), (401, 7, 1.0), (402, -3, 1.0)] + [(m, 9, 1.0) for m in range(500, 540)]
+    lines = spark.createDataFrame(rows, LINES)
+    same("co_members", lineitem=lines)
+    monkeypatch.setattr(graph, "SIGNATURES", 40)
+    same("co_members", lineitem=lines)
+    pairs = [(m, draw.randrange(400)) for m in range(200) for _ in range(3)]  # more groups than a word has bits
+    of = {m: {d for n, d in pairs if n == m} for m in range(200)}
+    want = {m: sum(bool(s & t) for n, t in of.items() if n != m) for m, s in of.items()}
+    got = dict(map(tuple, graph.peers(spark.createDataFrame(pairs, "m long, d long")).collect()))
+    assert got == {m: n for m, n in want.items() if n}
