@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lakewright.operators import retrieval
 from lakewright.operators.ordering import running
 
 
@@ -94,6 +95,16 @@ def hard_negatives(scored: DataFrame, positives: DataFrame, roots: DataFrame, k:
     return left.withColumn("rank", r).where(F.col("rank") <= k).select("query", "item", "rank")
 
 
+def searched_negatives(queries: DataFrame, items: DataFrame, alibi: DataFrame, k: int) -> DataFrame:
+    """``hard_negatives`` of whole queries (query, q) and items (item, v, root) by one search, without a pool of all pairs.
+
+    ``alibi``: (query, root) of the positives, which are so left out with all that is related to them.
+    """
+    barred = alibi.select("query", F.col("root").alias("group")).distinct()
+    found = retrieval.blocked_top_k(queries, items.withColumnRenamed("root", "group"), k, skip_self=True, barred=barred)
+    return found.select("query", "item", "rank")
+
+
 def density(edges: DataFrame, least: float) -> DataFrame:
     """(n_pairs, n_edges, positive_share, density): share of edges with weight ``least`` or more; edges over all pairs."""
     one = edges.agg(

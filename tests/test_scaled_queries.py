@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lakewright.operators import graph
+from lakewright.operators import graph, retrieval
 from lakewright.plans import catalog
 
 
@@ -59,3 +59,38 @@ def test_co_members_of_few_and_many_groups(spark, same, monkeypatch):
     want = {m: sum(bool(s & t) for n, t in of.items() if n != m) for m, s in of.items()}
     got = dict(map(tuple, graph.peers(spark.createDataFrame(pairs, "m long, d long")).collect()))
     assert got == {m: n for m, n in want.items() if n}
+
+
+SEARCHES = "exact_top_k", "recall_of_rounded", "hub_corrected", "hard_negatives"
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def vectors(n, width=6):
+    draw = random.Random(n)
+    rows = [(i, [float(draw.randrange(-9, 10)) / 8 for _ in range(width)], i % 3) for i in range(n)]
+    return rows + [(n + i, rows[i][1], 0) for i in range(0, 40)]  # equal vectors tie
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_keep_no_pairs(spark, same, monkeypatch, name):
+    """Lists over several blocks of queries and batches of items, and no pair of all of them scored in rows."""
+    def pairs(*_):
+        raise AssertionError("all pairs are made as rows")
+
+    monkeypatch.setattr(retrieval, "scores", pairs)
+    monkeypatch.setattr(retrieval, "QUERIES", 9)
+    monkeypatch.setattr(retrieval, "PART", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        same(name, embeddings=spark.createDataFrame(vectors(400), VECTORS))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_of_odd_vectors(spark, same, name):
+    """Null vectors come last, not-a-number first; few items make short lists."""
+    rows = vectors(40)[:30]
+    rows[3], rows[20], rows[7], rows[8] = (3, None, 1), (20, None, 1), (7, [float("nan")] * 6, 0), (8, [float("inf")] + [1.0] * 5, 0)
+    same(name, embeddings=spark.createDataFrame(rows, VECTORS))
+    same(name, embeddings=spark.createDataFrame([(0, None, 0), (20, None, 0), (21, [1.0], 0)], VECTORS))
