@@ -43,6 +43,8 @@ PIVOTS, ASKING = 64, 4
 FEW, REMEMBERED = 500_000, 1_000_000
 #: Shingles of a prefix beyond those that may differ, as a multiple of these: to find candidates, and to group them.
 MORE = 1, 3
+#: Most 64-bit words of a sketch.
+MOST_WORDS = 256
 #: DivideSkip's weight of a long list's binary search against heap steps.
 MU = 0.0085
 
@@ -88,6 +90,25 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of a set's counts by the low bits of its shingles, in words: as many bits as shingles about."""
+    words = 1
+    while words < MOST_WORDS and 64 * words < len(s):
+        words *= 2
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differ(a: Column, b: Column) -> Column:
+    """How many shingles at least are in one of two sets only, by their sketches: the bits that differ, the longer one folded."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), xor)
+    long = F.when(F.size(a) == 2 * F.size(b), bits(fold(a), b)).when(F.size(b) == 2 * F.size(a), bits(a, fold(b)))
+    return F.when(F.size(a) == F.size(b), bits(a, b)).otherwise(F.coalesce(long, F.lit(0)))
+
+
 def key(s: np.ndarray, salt: int) -> int:
     """A 64-bit hash of a set: the sum of its shingles' salted hashes; 0 for the empty set."""
     return int(np.add.reduce(mix(s + np.uint64(salt)), dtype=np.uint64).astype(np.uint64).view(np.int64)) if len(s) else 0
@@ -285,8 +306,8 @@ def candidates(base: DataFrame, num: int, den: int) -> DataFrame:
     return able
 
 
-def candidate_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, component): candidates in groups that no link leaves.
+def candidate_groups(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, component): candidates in groups that no link leaves; and (sig, id, n, hot): the lists, one of which any partners share.
 
     Longer prefixes, whose shingles are ordered by how many candidates hold them, the rarest first. A set with c shingles that
     others hold, of which it shares m or more with any partner, shares one of the rarest c - m + 1 with it. A common passage
@@ -301,9 +322,10 @@ def candidate_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
     held = held.withColumn("r", F.dense_rank().over(ordered)).withColumn("c", F.sum("new").over(inside))
     kept = held.where((F.col("new") == 1) & (F.col("r") <= F.col("c") - floor_of(F.col("n"), num, den, MORE[1]) + 1))
     left = _beside(kept.select("sig", "deal", "id", "n", "hot"), num, den).where("shared")
+    left = cut(left.select("sig", "id", "n", "hot", "before"), "lists")
     # along a list each set is tied to the one before it; a frequent shingle ties its sets by its own name
     edges = left.select(F.col("id").alias("src"), F.when(F.col("hot"), F.col("sig")).otherwise(F.col("before")).alias("dst"))
-    return connected_components(edges.where("dst is not null").distinct()).withColumnRenamed("node", "id")
+    return connected_components(edges.where("dst is not null").distinct()).withColumnRenamed("node", "id"), left.drop("before")
 
 
 def _spread(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
@@ -327,18 +349,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 out = pd.DataFrame({"doc_id": part["doc_id"], "id": part["id"], "n": [len(s) for s in made]})
                 out["s"] = [s.view(np.int64) for s in made]
                 out["wide"] = [s[: prefix_length(len(s), num, den, MORE[1])].view(np.int64) for s in made]
+                out["sketch"] = [sketch(s) for s in made]
                 # of rows that share a doc_id each stands for its own class
                 yield out[[key(s, 77) == i for s, i in zip(made, part["id"], strict=True)]]
 
-    sets = cut(texts.mapInPandas(to_sets, "doc_id long, id long, n long, s array<long>, wide array<long>"), "sets")
-    groups = candidate_groups(sets, num, den)
+    sets = cut(texts.mapInPandas(to_sets, "doc_id long, id long, n long, s array<long>, wide array<long>, sketch array<long>"), "sets")
+    groups, lists = candidate_groups(sets, num, den)
     members = cut(sets.select("doc_id", "id", "n").distinct().join(groups, "id"), "members")
-    load = members.groupBy("component").agg(F.sum("n").alias("load"), F.count("*").alias("k")).where("k > 1")
-    members = members.join(_few(cut(load, "loads")), "component").withColumn("chunks", F.ceil(F.col("load") / BLOCK).cast("int"))
+    load = members.groupBy("component").agg(F.sum("n").alias("load")).where(F.col("load") > BLOCK)  # few: the others have one block
+    members = members.join(_few(cut(load, "loads")), "component", "left")
+    members = members.withColumn("chunks", F.coalesce(F.ceil(F.col("load") / BLOCK).cast("int"), F.lit(1)))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     members = cut(members.select("doc_id", "id", "n", "component", "chunks", chunk.alias("chunk")), "members")
     tasks = int((members.agg(F.sum("n")).first()[0] or 0) // (4 * BLOCK)) + 1
-    sets = sets.select("doc_id", "id", "s").join(_few(members), ["doc_id", "id"])
+    sets = sets.select("doc_id", "id", "s", "sketch").join(_few(members), ["doc_id", "id"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc_id", "id"]).sort_values(["doc_id", "id"]).reset_index(drop=True)
@@ -346,10 +370,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         found = links_within(pdf["doc_id"].to_numpy(), data, np.arange(len(pdf)), num, den)
         return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
 
-    blocks = _spread(sets, tasks, "component", "chunk").groupBy("component", "chunk")
+    blocks = _spread(sets.drop("sketch"), tasks, "component", "chunk").groupBy("component", "chunk")
     links = cut(blocks.applyInPandas(within, "src long, dst long"), "links")
     if members.where("chunks > 1").take(1):
-        links = across(sets.where("chunks > 1"), members.where("chunks > 1"), links, num, den)
+        links = across(sets.where("chunks > 1"), members.where("chunks > 1"), lists, links, num, den)
     label = connected_components(links)
     component = F.coalesce("component", "node").alias("component_id")
     nodes = reps.select("k1", "k2", "node").join(label, "node", "left").select("k1", "k2", component)
@@ -373,12 +397,14 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(known.join(_few(most), "component"), "labels")
 
 
-def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+def across(large: DataFrame, members: DataFrame, lists: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     """``links`` and links between different blocks of one candidate group.
 
     First a few documents of each label meet a few of the group's largest: a family whose blocks are connected inside falls
-    together. Of any two documents that are not yet connected one at least is outside the largest label: those, dealt to parts
-    of bounded size, are then searched for in every block of the group. ``members``: the keys of ``large``.
+    together. Of any two documents that are not yet connected one at least is outside the largest label. Those that share a shingle
+    of ``lists`` with a document of another label, and whose sketches don't rule a link out, are searched for among these alone. Sets
+    that are on the list of a frequent shingle, which would make too many pairs, are searched for in blocks of such sets.
+    ``members``: the keys of ``large``.
     """
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -394,7 +420,9 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den
         """Links between documents that are sought and those held, by (component, part, chunk)."""
         told = sought.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
         told = told.groupBy(*at, "label").agg(F.collect_list(F.struct("part", "chunk", "asks")).alias("to"))
-        sent = large.select(*at, "s").join(_few(cut(told, "told")), at)
+        told = cut(told, "told")
+        entries = told.agg(F.sum(F.size("to"))).first()[0] or 0
+        sent = large.select(*at, "s").join(F.broadcast(told) if entries <= FEW else told, at)
         sent = sent.select(*at, "label", "s", F.inline("to"))
         groups = _spread(sent, tasks, "component", "part", "chunk").groupBy("component", "part", "chunk")
         return cut(groups.applyInPandas(search, "src long, dst long"), "links")
@@ -414,13 +442,40 @@ def across(large: DataFrame, members: DataFrame, links: DataFrame, num: int, den
     keep = [*at, "label", "part", F.lit(0).alias("chunk")]
     links = links.union(met(some.select(*keep), pivots.select(*keep), 1))
 
-    # what is still outside the largest label against every block
-    known = _labelled(members, links)
+    # what is still outside the largest label against the documents of its lists
+    known = _labelled(members, links).select(*at, "n", "label", "main")
+    if not known.where(F.col("label") != F.col("main")).take(1):
+        return links
+    fits = F.expr(f"n * {num} <= m * {den} and m * {num} <= n * {den}")
+    on = lists.where("not hot").select("sig", "id").join(known, "id")
+    ask = on.where(F.col("label") != F.col("main"))
+    there = on.select("sig", *[F.col(c).alias(f"{c}2") for c in [*at, "label", "main"]], F.col("n").alias("m"))
+    new = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main2")) | (F.col("doc_id") < F.col("doc_id2")))
+    pairs = ask.join(there, "sig").where(new & fits).drop("sig").dropDuplicates([*at, "doc_id2", "id2"])
+    held = large.select("doc_id", "id", "sketch")
+    pairs = pairs.join(held, ["doc_id", "id"]).join(held.toDF("doc_id2", "id2", "sketch2"), ["doc_id2", "id2"])
+    most = F.col("n") + F.col("m") - 2 * F.ceil((F.col("n") + F.col("m")) * num / (num + den))
+    pairs = cut(pairs.where(differ(F.col("sketch"), F.col("sketch2")) <= most).drop("sketch", "sketch2"), "pairs")
+    # those asked for are dealt to blocks, of which one takes a bounded number of those that ask
+    block = cut(pairs.select(*[f"{c}2" for c in at], "m").distinct().groupBy("component2").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks")), "blocks")
+    pairs = pairs.join(_few(block), "component2").withColumn("chunk", F.pmod(F.xxhash64("label2"), F.col("blocks")).cast("int"))
+    load = pairs.select(*at, "n", "chunk").distinct().groupBy("component", "chunk").agg(F.ceil(F.sum("n") / SOUGHT).cast("int").alias("parts"))
+    pairs = pairs.join(_few(cut(load, "parts")), ["component", "chunk"])
+    pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")), "asked")
+    asks = pairs.select(*at, "label", "part", "chunk").distinct()
+    asked = pairs.select(*[F.col(f"{c}2").alias(c) for c in [*at, "label"]], "part", "chunk").distinct()
+    links = links.union(met(asks, asked, asks.select("component", "part", "chunk").distinct().count() // 4 + 1))
+
+    # sets on frequent lists against every block of such sets
+    often = lists.where("hot").select("id").distinct()
+    known = cut(_labelled(members.join(often, "id", "left_semi"), links), "frequent")
     sought = cut(parts(known.where(F.col("label") != F.col("main"))), "sought")
     if not sought.take(1):
         return links
+    size = cut(known.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks")), "chunks")
+    known = known.drop("chunks", "chunk").join(_few(size), "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     held = known.join(_few(cut(sought.select("component", "part").distinct(), "parts")), "component")
-    asked = sought.select(*at, "label", "part", every)
+    asked = sought.drop("chunks").join(_few(size), "component").select(*at, "label", "part", every)
     tasks = asked.select("component", "part", "chunk").distinct().count()
     return links.union(met(asked, held.select(*at, "label", "part", "chunk"), tasks // 4))

@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakewright.llm import jaccard
 from lakewright.operators import graph, retrieval
 from lakewright.plans import catalog
 
@@ -94,3 +96,35 @@ def test_searches_of_odd_vectors(spark, same, name):
     rows[3], rows[20], rows[7], rows[8] = (3, None, 1), (20, None, 1), (7, [float("nan")] * 6, 0), (8, [float("inf")] + [1.0] * 5, 0)
     same(name, embeddings=spark.createDataFrame(rows, VECTORS))
     same(name, embeddings=spark.createDataFrame([(0, None, 0), (20, None, 0), (21, [1.0], 0)], VECTORS))
+
+
+def test_jaccard_sends_sets_only_to_likely_partners(spark, monkeypatch):
+    """A long chain of documents that overlap without a link is one group of many blocks: no set goes to all of them."""
+    sent = []
+
+    def counted(df, name, cut=jaccard.cut):
+        out = cut(df, name)
+        if name == "told":
+            sent.append(out.agg(F.sum(F.size("to"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    for name, value in (("BLOCK", 400), ("SOUGHT", 800)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = [(i, " ".join(f"w{j}" for j in range(16 * i, 16 * i + 102))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 3)]
+    got = {tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {(i, 100, i) for i in range(300)} | {(1000 + i, 101, i) for i in range(0, 300, 3)}
+    assert sent and max(sent) <= 4 * len(rows)
+
+
+def test_sketches_never_exceed_the_difference(spark):
+    draw = np.random.default_rng(3)
+    rows = []
+    for n in (1, 3, 60, 64, 65, 130, 1000, 20_000):
+        a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 9], draw.integers(0, 2**63, n // 7, dtype=np.uint64)]))
+        rows.append((len(np.setxor1d(a, b)), jaccard.sketch(a).tolist(), jaccard.sketch(b).tolist()))
+    df = spark.createDataFrame(rows, "d long, a array<long>, b array<long>")
+    got = df.select("d", jaccard.differ(F.col("a"), F.col("b")).alias("x"), jaccard.differ(F.col("b"), F.col("a")).alias("y")).collect()
+    assert all(0 <= r.x <= r.d and r.x == r.y for r in got) and sum(r.x for r in got) > 0.5 * sum(r.d for r in got)
