@@ -12,8 +12,9 @@ A document's set holds its distinct n-word shingles (lower-cased A-Z only). Sets
 3. Candidate groups (connected components along the lists) become blocks of bounded size. Each block is searched by
    T-occurrence: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap for documents that
    reach T - L, and probes the long lists by binary search. In groups of several blocks a few documents of each component
-   then meet a few of the largest one, which joins the parts of a large family; what is still outside the largest component is
-   searched for in every block, so no link across blocks is lost.
+   then meet a few of the largest one, which joins the parts of a large family. What is still outside the largest component meets
+   the documents of its lists that sketches allow; on lists of frequent shingles it's the sketches of all that are compared, block
+   by block, and sets are sent to the nearest, then to what is still apart, so no link across blocks is lost.
 4. Links' connected components give each document its ``component_id``.
 
 Null or empty texts and texts without words have an empty set and are linked with nothing. Rows that share a doc_id
@@ -43,8 +44,8 @@ PIVOTS, ASKING = 64, 4
 FEW, REMEMBERED = 500_000, 1_000_000
 #: Shingles of a prefix beyond those that may differ, as a multiple of these: to find candidates, and to group them.
 MORE = 1, 3
-#: Most 64-bit words of a sketch.
-MOST_WORDS = 256
+#: Most 64-bit words of a sketch; words, and as many for each sketch besides, of the sketches that are compared together.
+MOST_WORDS, COMPARED, BESIDE = 256, 16_384, 8
 #: DivideSkip's weight of a long list's binary search against heap steps.
 MU = 0.0085
 
@@ -109,6 +110,50 @@ def differ(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), bits(a, b)).otherwise(F.coalesce(long, F.lit(0)))
 
 
+def likely_pairs(left: pd.DataFrame, right: pd.DataFrame, num: int, den: int, nearest: bool) -> pd.DataFrame:
+    """(i, j, d): rows of ``left`` and ``right`` (doc_id, label, n, sketch; right's main) whose sketches differ in d bits and allow a link.
+
+    Of two rows of one label none; of two rows outside main one way round. ``nearest``: of each row of ``left`` only the pair
+    with the least d, either way round.
+    """
+    out = [np.zeros((3, 0), np.int64)]
+    doc, label, main = (right[c].to_numpy() for c in ("doc_id", "label", "main"))
+    sides = []
+    for df in (left, right):
+        wide, n = df["sketch"].map(len).to_numpy(), df["n"].to_numpy()
+        at = [np.flatnonzero(wide == w) for w in np.unique(wide)]
+        at = [a[np.argsort(n[a], kind="stable")] for a in at]
+        sides.append((n, [(a, np.stack(df["sketch"].to_numpy()[a]).view(np.uint64)) for a in at]))
+    (n, lefts), (m, rights) = sides
+    for (a, x), (b, y) in ((p, q) for p in lefts for q in rights):
+        words = min(x.shape[1], y.shape[1])
+        x, y = (np.bitwise_xor.reduce(z.reshape(len(z), -1, words), axis=1) for z in (x, y))  # the longer ones folded
+        y = np.ascontiguousarray(y.T)
+        for lo in range(0, len(a), 64):
+            i = a[lo : lo + 64]
+            first = np.searchsorted(m[b] * den, n[i[0]] * num)
+            last = np.searchsorted(m[b] * num, n[i[-1]] * den, "right")
+            if first >= last:
+                continue
+            j = b[first:last]
+            d = np.zeros((len(i), len(j)), np.int32)
+            for w in range(words):
+                d += np.bitwise_count(x[lo : lo + 64, w, None] ^ y[w, None, first:last])
+            both = n[i][:, None] + m[j][None]
+            ok = d <= both + 2 * (-both * num // (num + den))
+            ok &= (m[j][None] * den >= n[i][:, None] * num) & (m[j][None] * num <= n[i][:, None] * den)
+            ok &= left["label"].to_numpy()[i][:, None] != label[j][None]
+            if not nearest:
+                ok &= (label[j] == main[j])[None] | (left["doc_id"].to_numpy()[i][:, None] < doc[j][None])
+            u, v = np.nonzero(ok)
+            out.append(np.stack([i[u], j[v], d[u, v]]))
+    found = pd.DataFrame(np.concatenate(out, axis=1).T, columns=["i", "j", "d"])
+    if nearest:
+        found["doc"] = doc[found["j"]]
+        found = found.sort_values(["i", "d", "doc", "j"]).drop_duplicates("i").drop(columns="doc")
+    return found
+
+
 def key(s: np.ndarray, salt: int) -> int:
     """A 64-bit hash of a set: the sum of its shingles' salted hashes; 0 for the empty set."""
     return int(np.add.reduce(mix(s + np.uint64(salt)), dtype=np.uint64).astype(np.uint64).view(np.int64)) if len(s) else 0
@@ -403,7 +448,8 @@ def across(large: DataFrame, members: DataFrame, lists: DataFrame, links: DataFr
     First a few documents of each label meet a few of the group's largest: a family whose blocks are connected inside falls
     together. Of any two documents that are not yet connected one at least is outside the largest label. Those that share a shingle
     of ``lists`` with a document of another label, and whose sketches don't rule a link out, are searched for among these alone. Sets
-    that are on the list of a frequent shingle, which would make too many pairs, are searched for in blocks of such sets.
+    that are on the list of a frequent shingle, which would make too many pairs, compare their sketches alone, block by block; sets
+    are sent where these allow a link: of each document to the nearest first, which joins most, then to all of another label.
     ``members``: the keys of ``large``.
     """
 
@@ -432,6 +478,49 @@ def across(large: DataFrame, members: DataFrame, lists: DataFrame, links: DataFr
         n = sought.groupBy("component").agg(F.ceil(F.sum("n") / SOUGHT).cast("int").alias("parts"))
         return sought.join(_few(cut(n, "parts")), "component").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"))
 
+    def settled(pairs: DataFrame) -> DataFrame:
+        """Links of ``pairs`` (doc_id, id, component, label, n; those asked for: the same with 2, and m)."""
+        # those asked for are dealt to blocks, of which one takes a bounded number of those that ask
+        block = cut(pairs.select(*[f"{c}2" for c in at], "m").distinct().groupBy("component2").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks")), "blocks")
+        pairs = pairs.join(_few(block), "component2").withColumn("chunk", F.pmod(F.xxhash64("label2"), F.col("blocks")).cast("int"))
+        load = pairs.select(*at, "n", "chunk").distinct().groupBy("component", "chunk").agg(F.ceil(F.sum("n") / SOUGHT).cast("int").alias("parts"))
+        pairs = pairs.join(_few(cut(load, "parts")), ["component", "chunk"])
+        pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")), "asked")
+        asks = pairs.select(*at, "label", "part", "chunk").distinct()
+        asked = pairs.select(*[F.col(f"{c}2").alias(c) for c in [*at, "label"]], "part", "chunk").distinct()
+        return met(asks, asked, asks.select("component", "part", "chunk").distinct().count() // 4 + 1)
+
+    def compared(sought: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of ``sought`` and ``known`` whose sketches allow a link: each block of sketches meets each of its component."""
+        blocks = F.ceil(F.sum(F.size("sketch") + BESIDE) / COMPARED).cast("int")
+        size = [df.groupBy("component").agg(blocks.alias(to)) for df, to in ((sought, "parts"), (known, "chunks"))]
+        size = cut(size[0].join(size[1], "component"), "blocks")
+        here = [*at, "label", "main", "n", "sketch"]
+        sides = []
+        for df, own, other in ((sought, "part", "chunk"), (known, "chunk", "part")):
+            df = df.select(*here).join(_few(size), "component")
+            df = df.withColumn(own, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(f"{own}s")).cast("int"))
+            df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+            sides.append(df.select(*here, "part", "chunk", F.lit(own == "part").alias("asks")))
+
+        def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.drop_duplicates(["doc_id", "id", "asks"])
+            left, right = (pdf[side].sort_values(["doc_id", "id"]).reset_index(drop=True) for side in (pdf["asks"], ~pdf["asks"]))
+            found = likely_pairs(left, right, num, den, nearest)
+            one, two = left.iloc[found["i"]].reset_index(drop=True), right.iloc[found["j"]].reset_index(drop=True)
+            out = one[[*at, "label", "n"]].assign(doc_id2=two["doc_id"], id2=two["id"], label2=two["label"], m=two["n"], d=found["d"].to_numpy())
+            return out.assign(component2=out["component"])
+
+        tasks = size.agg(F.sum(F.col("parts").cast("long") * F.col("chunks"))).first()[0] or 0
+        groups = _spread(sides[0].unionByName(sides[1]), tasks, "component", "part", "chunk").groupBy("component", "part", "chunk")
+        kinds = ", ".join(f"{c} long" for c in [*at, "label", "n", "doc_id2", "id2", "label2", "m", "d", "component2"])
+        pairs = groups.applyInPandas(compare, kinds)
+        if nearest:
+            other = ["doc_id2", "id2", "component2", "label2", "m"]
+            best = pairs.groupBy(*at, "label", "n").agg(F.min(F.struct("d", *other)).alias("b"))
+            pairs = best.select(*at, "label", "n", *[f"b.{c}" for c in other])
+        return cut(pairs.drop("d"), "likely")
+
     # a few of each label against a few of the largest
     known = _labelled(members, links)
     order = Window.partitionBy("component", "label").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -456,26 +545,15 @@ def across(large: DataFrame, members: DataFrame, lists: DataFrame, links: DataFr
     pairs = pairs.join(held, ["doc_id", "id"]).join(held.toDF("doc_id2", "id2", "sketch2"), ["doc_id2", "id2"])
     most = F.col("n") + F.col("m") - 2 * F.ceil((F.col("n") + F.col("m")) * num / (num + den))
     pairs = cut(pairs.where(differ(F.col("sketch"), F.col("sketch2")) <= most).drop("sketch", "sketch2"), "pairs")
-    # those asked for are dealt to blocks, of which one takes a bounded number of those that ask
-    block = cut(pairs.select(*[f"{c}2" for c in at], "m").distinct().groupBy("component2").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks")), "blocks")
-    pairs = pairs.join(_few(block), "component2").withColumn("chunk", F.pmod(F.xxhash64("label2"), F.col("blocks")).cast("int"))
-    load = pairs.select(*at, "n", "chunk").distinct().groupBy("component", "chunk").agg(F.ceil(F.sum("n") / SOUGHT).cast("int").alias("parts"))
-    pairs = pairs.join(_few(cut(load, "parts")), ["component", "chunk"])
-    pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int")), "asked")
-    asks = pairs.select(*at, "label", "part", "chunk").distinct()
-    asked = pairs.select(*[F.col(f"{c}2").alias(c) for c in [*at, "label"]], "part", "chunk").distinct()
-    links = links.union(met(asks, asked, asks.select("component", "part", "chunk").distinct().count() // 4 + 1))
-
-    # sets on frequent lists against every block of such sets
+    links = links.union(settled(pairs))
+
+    # sets on frequent lists: first the nearest of each by sketches, then all that sketches allow between what is still apart
     often = lists.where("hot").select("id").distinct()
-    known = cut(_labelled(members.join(often, "id", "left_semi"), links), "frequent")
-    sought = cut(parts(known.where(F.col("label") != F.col("main"))), "sought")
-    if not sought.take(1):
-        return links
-    size = cut(known.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks")), "chunks")
-    known = known.drop("chunks", "chunk").join(_few(size), "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    held = known.join(_few(cut(sought.select("component", "part").distinct(), "parts")), "component")
-    asked = sought.drop("chunks").join(_few(size), "component").select(*at, "label", "part", every)
-    tasks = asked.select("component", "part", "chunk").distinct().count()
-    return links.union(met(asked, held.select(*at, "label", "part", "chunk"), tasks // 4))
+    often = cut(members.join(often, "id", "left_semi").join(large.select("doc_id", "id", "sketch"), ["doc_id", "id"]), "often")
+    for nearest in (True, False):
+        known = _labelled(often, links)
+        sought = known.where(F.col("label") != F.col("main"))
+        if not sought.take(1):
+            return links
+        links = links.union(settled(compared(sought, known, nearest)))
+    return links

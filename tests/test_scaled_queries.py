@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,56 @@ def test_jaccard_sends_sets_only_to_likely_partners(spark, monkeypatch):
     assert sent and max(sent) <= 4 * len(rows)
 
 
+def test_jaccard_sends_no_set_of_a_common_passage_to_every_block(spark, monkeypatch):
+    """Documents with one long passage and tails of their own are one group of frequent shingles: few are likely to link."""
+    sent = []
+
+    def counted(df, name, cut=jaccard.cut):
+        out = cut(df, name)
+        if name == "told":
+            sent.append(out.agg(F.sum(F.size("to"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    for name, value in (("BLOCK", 400), ("SOUGHT", 800), ("FREQUENT", 5), ("COMPARED", 400)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    passage = " ".join(f"p{j}" for j in range(82))
+    rows = [(i, passage + "".join(f" w{i}x{j}" for j in range(20))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 200, 4)]
+    rows += [(2000 + i, rows[i][1] + " and its end") for i in range(0, 200, 8)]
+    got = {tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {(d, 100 + (d >= 1000) + 2 * (d >= 2000), d % 1000) for d, _ in rows}
+    assert sent and max(sent) <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("num", [30, 80, 90])
+def test_likely_pairs_lose_no_link(num):
+    """Against all pairs: every link between labels is likely, and of each row the nearest is kept."""
+    draw = np.random.default_rng(num)
+    base, sets = draw.integers(0, 2**63, 900, dtype=np.uint64), []
+    for i in range(150):
+        n = int(draw.integers(1, 200)) if i % 3 else int(draw.integers(200, 900))
+        sets.append(np.unique(np.concatenate([base[:n], draw.integers(0, 2**63, int(draw.integers(0, 9)), dtype=np.uint64)])))
+    rows = pd.DataFrame({"doc_id": range(150), "label": [i // 2 for i in range(150)], "main": 3, "n": [len(s) for s in sets]})
+    rows["sketch"] = [jaccard.sketch(s) for s in sets]
+    left = rows[rows["label"] != 3].iloc[::2].reset_index(drop=True)
+
+    def linked(i, j):
+        a, b = sets[left["doc_id"][i]], sets[j]
+        same = len(np.intersect1d(a, b))
+        return left["label"][i] != rows["label"][j] and 100 * same >= num * (len(a) + len(b) - same)
+
+    links = {(i, j) for i in range(len(left)) for j in range(150) if linked(i, j)}
+    pairs = jaccard.likely_pairs(left, rows, num, 100, False)
+    one_way = {(i, j) for i, j in links if rows["label"][j] == 3 or left["doc_id"][i] < j}
+    assert one_way and one_way <= set(zip(pairs["i"], pairs["j"], strict=True))
+    near = jaccard.likely_pairs(left, rows, num, 100, True)
+    assert near["i"].is_unique and {i for i, _ in links} <= set(near["i"])
+    least = pairs.groupby("i")["d"].min()
+    assert (near.set_index("i")["d"].reindex(least.index) <= least).all()
+    assert not len(jaccard.likely_pairs(left.iloc[:0], rows, num, 100, True)) and not len(jaccard.likely_pairs(left, rows.iloc[:0], num, 100, False))
+
+
 def test_sketches_never_exceed_the_difference(spark):
     draw = np.random.default_rng(3)
     rows = []
